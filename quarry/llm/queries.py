@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, sharding
+from quarry.llm import exact_dedup, packing, sharding, simhash, toxicity, url_lists
 from quarry.llm.common import table
 
 
@@ -14,13 +15,60 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", capacity=2048)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+#: The dated list events of the URL query: list, key (host suffix, or host and leading path), action, day.
+LIST_EVENTS = (
+    ("spam", "example.net", "add", "2024-02-01"),
+    ("spam", "example.net", "remove", "2024-05-15"),
+    ("spam", "example.net", "add", "2024-09-01"),
+    ("spam", "ththon.example.com", "add", "2024-01-20"),
+    ("spam", "ththhe.example.com/de", "add", "2024-03-10"),
+    ("spam", "ththhe.example.com/de", "remove", "2024-11-01"),
+    ("adult", "blog.tionble.example.com", "add", "2024-04-01"),
+    ("adult", "blog.tionble.example.com", "add", "2024-05-01"),
+    ("adult", "blog.tionble.example.com", "remove", "2024-08-01"),
+    ("adult", "blog.ththth.example.org", "add", "2024-01-01"),
+    ("adult", "blog.ththth.example.org", "remove", "2024-01-01"),
+    ("allow", "tionsh.example.net", "add", "2024-03-01"),
+    ("allow", "tionsh.example.net/fr", "add", "2024-02-10"),
+    ("allow", "m.ththed.example.net", "add", "2024-10-01"),
+    ("allow", "m.ththed.example.net", "remove", "2024-12-01"),
+)
+
+
+def op9_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages carry no fetch time: page n counts as fetched on day 37 n mod 366 of 2024."""
+    events = spark.createDataFrame(list(LIST_EVENTS), "list_name string, key string, action string, day string")
+    day = F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int")
+    captures = table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), day).alias("fetched_on")
+    )
+    return url_lists.judge(captures, events.select("list_name", "key", "action", F.to_date("day").alias("effective_on")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op4_simhash": op4_simhash,
+    "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
+    "op9_url_lists": op9_url_lists,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -31,4 +79,40 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256({_LOWER}) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY {_LOWER})
     """,
+    "op9_url_lists": f"""
+        WITH events(list_name, key, action, day) AS (VALUES {", ".join(str(e) for e in LIST_EVENTS)}),
+        daily AS (
+            SELECT list_name, lower(key) AS key, CAST(day AS DATE) AS day, max(action) AS action
+            FROM events GROUP BY ALL),
+        captures AS (
+            SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INT) AS fetched_on,
+                   regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)', 1) AS rest
+            FROM pages),
+        hosts AS (
+            SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/]*)', 1)), '^.*@', ''),
+                                     ':[0-9]*$', '') AS host,
+                   list_filter(string_split(regexp_replace(rest, '^[^/]*/?', ''), '/'), lambda p: p <> '') AS path
+            FROM captures),
+        keyed AS (
+            SELECT DISTINCT page_id, url, fetched_on, unnest(
+                list_transform(range(1, len(string_split(host, '.')) + 1),
+                               lambda i: array_to_string(string_split(host, '.')[i:], '.'))
+                || list_transform(range(1, len(path) + 1), lambda i: host || '/' || array_to_string(path[1:i], '/'))
+            ) AS key
+            FROM hosts WHERE host <> ''),
+        names AS (SELECT DISTINCT list_name FROM events),
+        latest AS (
+            SELECT k.page_id, k.url, k.fetched_on, k.list_name || ':' || k.key AS entry, d.action
+            FROM (SELECT * FROM keyed, names) k
+            ASOF JOIN daily d ON k.key = d.key AND k.list_name = d.list_name AND k.fetched_on >= d.day),
+        found AS (
+            SELECT page_id, url, fetched_on, list_sort(list(entry)) AS active
+            FROM latest WHERE action = 'add' GROUP BY ALL)
+        SELECT h.page_id, h.url, h.fetched_on, coalesce(f.active, []) AS active,
+               CASE WHEN len(list_filter(coalesce(f.active, []), lambda x: starts_with(x, 'allow:'))) > 0 THEN 'allowed'
+                    WHEN len(coalesce(f.active, [])) > 0 THEN 'blocked' ELSE 'clear' END AS verdict
+        FROM hosts h LEFT JOIN found f
+          ON h.page_id IS NOT DISTINCT FROM f.page_id AND h.url IS NOT DISTINCT FROM f.url
+         AND h.fetched_on IS NOT DISTINCT FROM f.fetched_on
+    """,
 }
