@@ -53,27 +53,29 @@ def balanced(totals: list[tuple[int, int, int]], shards: int) -> dict[int, int]:
 def rebalanced(totals: list[tuple[int, int, int]], dealt: dict[int, int], shards: int) -> dict[int, int]:
     """The map edited for more shards: slots move only into shards that the old map doesn't use.
 
-    Each move takes the largest slot of the heaviest old shard that leaves it no lighter than the mean.
+    Each move takes the largest slot of the heaviest old shard that the lightest new one can hold without becoming
+    heavier than its giver is then; without such a slot the editing ends.
     """
     sizes = {slot: size for slot, size, _ in totals}
     load = dict.fromkeys(range(shards), 0)
     owned: dict[int, list[int]] = {shard: [] for shard in range(shards)}
-    for slot, shard in dealt.items():
+    for slot, shard in sorted(dealt.items(), key=lambda d: (-sizes[d[0]], d[0])):
         load[shard] += sizes[slot]
         owned[shard].append(slot)
-    mean = sum(sizes.values()) / shards
-    new = sorted(set(range(shards)) - set(dealt.values()))
+    old = sorted(set(dealt.values()))
+    new = sorted(set(range(shards)) - set(old))
     edited = dict(dealt)
-    for shard in sorted(set(dealt.values()), key=lambda s: -load[s]):
-        for slot in sorted(owned[shard], key=lambda s: (-sizes[s], s)):
-            if not new or load[shard] - sizes[slot] < mean:
-                continue
-            target = min(new, key=lambda s: (load[s], s))
-            if load[target] + sizes[slot] > mean:
-                continue
-            edited[slot] = target
-            load[shard] -= sizes[slot]
-            load[target] += sizes[slot]
+    while new and old:
+        giver = max(old, key=lambda s: (load[s], s))
+        target = min(new, key=lambda s: (load[s], s))
+        room = load[giver] - load[target]
+        slot = next((s for s in owned[giver] if 2 * sizes[s] <= room), None)
+        if slot is None:
+            break
+        owned[giver].remove(slot)
+        edited[slot] = target
+        load[giver] -= sizes[slot]
+        load[target] += sizes[slot]
     return edited
 
 

@@ -120,8 +120,9 @@ def window_hashes(names: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
 
     def polynomial(values: np.ndarray, base: int) -> np.ndarray:
         n, inverse = len(values), pow(base, -1, 1 << 64)
-        up = np.cumprod(np.concatenate([[1], np.full(n, base)]).astype(np.uint64))
-        down = np.cumprod(np.concatenate([[1], np.full(n, inverse, np.uint64)]).astype(np.uint64))
+        up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, inverse, np.uint64)
+        up[0] = down[0] = 1
+        up, down = np.cumprod(up), np.cumprod(down)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * down[:-1])])
         return (sums[width:] - sums[:-width]) * up[: n - width + 1]
 
@@ -215,7 +216,6 @@ def _candidates(batch: pa.RecordBatch, begin: int, texts: list[list[bytes]], wid
     """Word names laid out, each text's start, and where the windows start whose names were all seen elsewhere."""
     words, gaps, starts = laid_out(texts)
     names, ends, (at, to) = parse(words, gaps, rounds, True)
-    owner = np.cumsum(ends) - ends
     shared = np.zeros(len(names), bool)
     edges = np.append(np.flatnonzero(ends), len(names))
     low = 0
@@ -224,7 +224,6 @@ def _candidates(batch: pa.RecordBatch, begin: int, texts: list[list[bytes]], wid
         if known is not None and len(known):
             shared[low:high] = np.isin(names[low:high], known.to_numpy(zero_copy_only=False).view(np.uint64))
         low = high + 1
-    del owner
     seen = np.concatenate([[0], np.cumsum(shared)])
     inside = np.concatenate([[0], np.cumsum(gaps)])
     n = len(words) - width + 1

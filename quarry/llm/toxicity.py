@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
-WINDOW, STRIDE = 8, 4
+WINDOW, STRIDE = 3, 1
 _CACHE_WORDS = 300_000
 _EDGE = ".,;:!?\"'()[]{}<>|*#%&"
 
@@ -157,10 +157,10 @@ class Scorer:
     def score(self, text: str | None) -> float:
         own = words(text)
         known = self.known
-        if new := set(own) - known.keys():
+        if new := [w for w in set(own) if w not in known]:
             if len(known) > _CACHE_WORDS:
                 known.clear()
-                new = set(own)
+                new = list(set(own))
             found = [grams(w) for w in new]
             sizes = np.array([len(g) for g in found])
             flat = np.fromiter((g for one in found for g in one), np.int64, sizes.sum())
