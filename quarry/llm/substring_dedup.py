@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import written
 
-PAIR_ROUNDS = 7
+PAIR_ROUNDS = 6
 _GROUP_WORDS = 400_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _S = np.uint64(32)
@@ -67,7 +67,7 @@ def run_round(names: np.ndarray, gaps: np.ndarray) -> Level:
 
 def pair_round(names: np.ndarray, gaps: np.ndarray, turn: int) -> Level:
     n = len(names)
-    right = (_mix(names + np.uint64(turn) * _B) & np.uint64(1)).astype(bool)
+    right = (_mix(names + np.uint64(turn * int(_B) & (1 << 64) - 1)) & np.uint64(1)).astype(bool)
     left = ~right & ~gaps
     right &= ~gaps
     second = np.zeros(n, bool)
@@ -312,7 +312,10 @@ def remove_repeats(docs: DataFrame, width: int = 35, rounds: int = PAIR_ROUNDS)
     named = rows.mapInArrow(_names_of_rows(rounds), "name long, key long").join(shared, "name")
     by_row = written(named.groupBy("key").agg(F.collect_set("name").alias("names")), "names-by-row")
     packed = rows.mapInArrow(_packed_rows, "doc_id long, key long, mark long, packed binary")
-    windows = packed.join(by_row, "key").mapInArrow(_window_rows(width, rounds), "wide long, more int, key long, spot long")
+    # Rows without shared names too: windows that no name lies wholly inside are compared wherever they are.
+    windows = packed.join(by_row, "key", "left").mapInArrow(
+        _window_rows(width, rounds), "wide long, more int, key long, spot long"
+    )
     singles = (
         windows.groupBy("wide", "more")
         .agg(F.count("*").alias("n"), F.first("key").alias("key"), F.first("spot").alias("spot"))
