@@ -26,7 +26,7 @@ _PACKED = f"{PIECES}, sequence_id long, offset long"
 _UNIT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space besides the four that units are cut at; a text that has any is encoded whole.
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_CACHE_UNITS, _GROUP_CHARS = 200_000, 1_000_000
+_CACHE_UNITS, _GROUP_CHARS = 500_000, 1_000_000
 _encoders: dict[str, TextEncoder] = {}
 
 
@@ -66,15 +66,32 @@ class TextEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, "<u4").tobytes() for x in found]
 
+    def _encode_units(self, units: list[str]) -> None:
+        """Encodes units, those without a line end as lines of one text: a line end before white space stands alone."""
+        line_end = self._encode(["\n"])[0]
+        lines = [u for u in units if "\n" not in u and u[0] == " " and not u.isspace()]
+        if len(line_end) == 4:
+            ids = np.frombuffer(self._encode(["\n".join(lines)])[0], "<u4")
+            ends = np.append(np.flatnonzero(ids == np.frombuffer(line_end, "<u4")[0]), len(ids)) * 4
+            if len(ends) == len(lines):
+                data, at = ids.tobytes(), 0
+                for unit, end in zip(lines, ends.tolist()):
+                    self.known[unit] = data[at:end]
+                    at = end + 4
+        rest = [u for u in units if u not in self.known]
+        self.known.update(zip(rest, self._encode(rest)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_unit:
             return self._encode(texts)
         units = [None if _ODD_SPACE.search(t) else _UNIT.findall(t) for t in texts]
         if len(self.known) > _CACHE_UNITS:
             self.known.clear()
-        known = self.known
-        new = list({u for found in units if found for u in found} - known.keys())
-        known.update(zip(new, self._encode(new)))
+        known, new = self.known, set()
+        for found in units:
+            new.update(set(found or ()).difference(known))
+        if new:
+            self._encode_units(list(new))
         return [
             self._encode([text])[0] if found is None else b"".join(map(known.__getitem__, found))
             for text, found in zip(texts, units)
