@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, packing, sharding, simhash, substring_dedup, toxicity, url_lists
+from quarry.llm import exact_dedup, line_dedup, packing, sharding, simhash, substring_dedup, toxicity, url_lists
 from quarry.llm.common import table
 
 
@@ -66,6 +66,10 @@ def op9_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.judge(captures, events.select("list_name", "key", "action", F.to_date("day").alias("effective_on")))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_toxicity": op3_toxicity,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_url_lists": op9_url_lists,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
