@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import written
@@ -53,14 +53,17 @@ def _signed(value: int) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
+    """doc_id, mark (a hash of the text), fp: the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_signed(fingerprint(shingle_hashes(t.as_py(), size))) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            found = [_signed(fingerprint(shingle_hashes(t.as_py(), size))) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["doc_id", "mark", "fp"]
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    return rows.mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def _masks(bits: int, most: int) -> Column:
@@ -135,13 +138,8 @@ def links(fps: DataFrame, radius: int, largest: int = 2048) -> DataFrame:
     return few.unionByName(_bucket_links(whole_variants(many, radius), radius))
 
 
-def components(docs: DataFrame, shingle: int = 4, radius: int = 4, largest: int = 2048) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (the least doc_id it is linked to).
-
-    Documents of one fingerprint are linked, those without words (fingerprint zero) like any other. Null text counts as
-    empty; a null doc_id is never a component_id unless its component has no other. Repeated rows come back each. Empty
-    table: no rows. Columns other than doc_id and text are not read.
-    """
+def grouped(docs: DataFrame, shingle: int, radius: int, largest: int) -> DataFrame:
+    """doc_id, mark, fp, component_id for every document."""
     marked = written(fingerprints(docs, shingle), "fingerprints")
     groups = written(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprint-groups")
     roots = written(connected(links(groups.select("fp"), radius, largest)), "roots")
@@ -149,7 +147,36 @@ def components(docs: DataFrame, shingle: int = 4, radius: int = 4, largest: int
         "fp", "low", F.coalesce("root", "fp").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = written(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return marked.join(named, "fp").select(
+    named = written(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
+    # A fingerprint that very many documents share is a skewed join, which Spark splits.
+    return marked.join(named, "fp")
+
+
+def components(docs: DataFrame, shingle: int = 4, radius: int = 4, largest: int = 2048) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (the least doc_id it is linked to).
+
+    Documents of one fingerprint are linked, those without words (fingerprint zero) like any other. Null text counts as
+    empty; a null doc_id is never a component_id unless its component has no other. Repeated rows come back each. Empty
+    table: no rows. Columns other than doc_id and text are not read.
+    """
+    return grouped(docs, shingle, radius, largest).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4, largest: int = 2048) -> DataFrame:
+    """The documents, all columns as they were, of which each near-duplicate group keeps one.
+
+    The one with the least doc_id stays (null last), of several rows with that doc_id the one whose text hashes lowest,
+    and of rows that repeat it wholly, one. Else as for ``components``.
+    """
+    rows = written(grouped(docs, shingle, radius, largest), "grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("first")
+    keepers = written(
+        rows.groupBy("root").agg(first).select("first.doc_id", "first.mark"),
+        "keepers",
+    )
+    same = (F.col("doc.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("own") == F.col("mark"))
+    kept = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("text").alias("own")).join(keepers, same)
+    alike = Window.partitionBy("doc_id", "mark").orderBy("mark")
+    return kept.withColumn("nth", F.row_number().over(alike)).where("nth = 1").select("doc.*")
