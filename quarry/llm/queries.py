@@ -99,6 +99,20 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256({_LOWER}) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY {_LOWER})
     """,
+    "op8_substring_dedup": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents),
+        windows AS (
+            SELECT r, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h
+            FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+        repeated AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY h) > 1),
+        gone AS (SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM repeated) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
+               sha256(array_to_string(list_filter(w, lambda x, i: ps IS NULL OR NOT list_contains(ps, i)), ' ')) AS kept_sha256
+        FROM d LEFT JOIN gone USING (r)
+    """,
     "op9_url_lists": f"""
         WITH events(list_name, key, action, day) AS (VALUES {", ".join(str(e) for e in LIST_EVENTS)}),
         daily AS (
