@@ -192,7 +192,7 @@ def frame_container(spark, sf_dir):
 
 @query("t4_pending_snapshot", """WITH g AS (SELECT *, ts - lag(ts) OVER w >= INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL AS fresh FROM events WHERE ts < TIMESTAMP '2024-01-15' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g), b AS (SELECT user_id, max(ts) + INTERVAL 1 HOUR AS fires FROM s GROUP BY user_id, session)
-    SELECT user_id, (epoch(fires) - epoch(TIMESTAMP '2024-01-15'))::BIGINT AS seconds_left FROM b WHERE fires > TIMESTAMP '2024-01-15'""")
+    SELECT user_id, (floor(epoch(fires)) - epoch(TIMESTAMP '2024-01-15'))::BIGINT AS seconds_left FROM b WHERE fires > TIMESTAMP '2024-01-15'""")
 def pending_snapshot(spark, sf_dir):
     """Batches that haven't fired at a given time (T3 takes these early), and how long they still wait."""
     now = F.lit("2024-01-15").cast("timestamp")
