@@ -19,18 +19,16 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import written
 
-#: Jaccard 4/5 as whole numbers; sketch buckets; the frequency code up to which a word is a key by itself.
+#: Jaccard 4/5 as whole numbers; bits of a membership sketch; buckets of the rarity sketch; the frequency code up to which a word is a key by itself.
 NUM, DEN = 4, 5
+MEMBER_BITS = 1 << 25
 BUCKETS, BLOCK = 1 << 18, 1 << 9
 RARE_CODE = 34
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
 
 def byte_sketch(codes: DataFrame) -> Column:
-    """A literal of BUCKETS bytes from rows (bucket, code); 1 where no row is. Its size doesn't follow the data.
-
-    It has to be a literal, as Spark takes no subquery inside a higher-order function.
-    """
+    """A scalar of BUCKETS bytes from rows (bucket, code); 1 where no row is. Its size doesn't follow the data."""
     spark = codes.sparkSession
     filled = (
         codes.select(F.col("bucket").cast("long"), F.col("code").cast("int"))
@@ -41,7 +39,7 @@ def byte_sketch(codes: DataFrame) -> Column:
     one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", F.char("code").alias("c")))), lambda x: x.c), "")
     blocks = filled.groupBy((F.col("bucket") / BLOCK).cast("int").alias("block")).agg(one.alias("part"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda x: x.part), "")
-    return F.lit(bytearray(blocks.agg(whole.cast("binary").alias("sketch")).first().sketch))
+    return written(blocks.agg(whole.cast("binary").alias("sketch")), "sketch").scalar()
 
 
 def looked_up(sketch: Column, value: Column) -> Column:
@@ -49,12 +47,33 @@ def looked_up(sketch: Column, value: Column) -> Column:
     return F.ascii(F.substring(sketch, at, F.lit(1)).cast("string"))
 
 
+def member_bits(values: DataFrame) -> Column:
+    """A scalar of MEMBER_BITS bits from one column of longs, by their values' remainders: false members, none missed."""
+    spark = values.sparkSession
+    at = F.pmod(F.col(values.columns[0]), F.lit(MEMBER_BITS)) + 1
+    parts = (
+        values.groupBy(F.bitmap_bucket_number(at).alias("part"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+        .unionByName(spark.range(1, MEMBER_BITS // 32768 + 1).select(F.col("id").alias("part"), F.lit(b"").cast("binary").alias("bits")))
+        .groupBy("part")
+        .agg(F.rpad(F.max(F.hex("bits")), 8192, "0").alias("bits"))
+    )
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "bits"))), lambda x: x.bits), "")
+    return written(parts.agg(F.unhex(whole).alias("bits")), "members").scalar()
+
+
+def may_be_in(bits: Column, value: Column) -> Column:
+    at = F.pmod(value, F.lit(MEMBER_BITS))
+    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return F.call_function("shiftright", byte, at.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def words(text: Column) -> Column:
     return F.split(F.lower(text), _SPACE)
 
 
 def rarity(docs: DataFrame) -> Column:
-    """How often words occur, eight steps to a doubling: code 2 is once; the count is of all words in the bucket."""
+    """How often words occur, four steps to a doubling: code 2 is once; the count is of all words in the bucket."""
     counted = (
         docs.select(F.explode(words(F.col("text"))).alias("word"))
         .groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket"))
@@ -66,12 +85,18 @@ def rarity(docs: DataFrame) -> Column:
 
 def line_rows(docs: DataFrame, sketch: Column) -> DataFrame:
     """doc_id, row_key, line_no, ranked (the words' names, rarest first), cls, n for every line with words."""
-    rows = docs.select("doc_id", row_key(docs).alias("row_key"), F.posexplode(F.split("text", "\n", -1)))
-    names = F.array_distinct(F.transform(F.filter(words(F.col("col")), lambda w: w != ""), lambda w: F.xxhash64(w)))
-    code = lambda x: F.shiftleft(looked_up(sketch, x).cast("long"), 56)
-    ranked = F.sort_array(F.transform(names, lambda x: code(x).bitwiseOR(F.shiftrightunsigned(x, 8))))
+    def ranked(line: Column, held: Column) -> Column:
+        names = F.array_distinct(F.transform(F.array_remove(words(line), ""), lambda w: F.xxhash64(w)))
+        code = lambda x: F.shiftleft(looked_up(held, x).cast("long"), 56)
+        return F.sort_array(F.transform(names, lambda x: code(x).bitwiseOR(F.shiftrightunsigned(x, 8))))
+
+    # Spark takes no subquery inside a higher-order function, so the sketch is a column that an outer one takes up once.
+    rows = docs.select("doc_id", row_key(docs).alias("row_key"), "text", sketch.alias("sketch"))
+    lines = F.transform(
+        F.array("sketch"), lambda held: F.transform(F.split("text", "\n", -1), lambda line: ranked(line, held))
+    )
     return (
-        rows.select("doc_id", "row_key", F.col("pos").alias("line_no"), ranked.alias("ranked"))
+        rows.select("doc_id", "row_key", F.posexplode(F.element_at(lines, 1)).alias("line_no", "ranked"))
         .withColumn("n", F.size("ranked"))
         .where("n > 0")
         .withColumn("cls", F.xxhash64("ranked"))
@@ -138,20 +163,23 @@ def grouped(sigs: DataFrame) -> DataFrame:
     )
 
 
+def shared_keys(sigs: DataFrame) -> DataFrame:
+    """The grouped rows of keys that several classes have, each with its group's earliest member and whether the two
+    can be similar: written once, as three readers need it."""
+    group = Window.partitionBy("key")
+    centre = F.first(F.struct("cls", "n", "i", "parity")).over(group.orderBy("doc_id", "line_no", "cls"))
+    own = F.struct("cls", "n", "i", "parity", "doc_id", "line_no").alias("own")
+    rows = grouped(sigs).withColumns({"centre": centre, "members": F.count("*").over(group)}).where("members > 1")
+    rows = rows.select("key", own, "centre").where("own.cls <> centre.cls")
+    return written(rows.withColumn("near", can_match("centre", "own")), "shared-keys")
+
+
 def candidates(sigs: DataFrame) -> DataFrame:
     """a (earlier class), b, skipped: b's other earlier candidates of the group were left out."""
-    rows = grouped(sigs)
-    group = Window.partitionBy("key").orderBy("doc_id", "line_no", "cls")
-    centre = F.first(F.struct("cls", "n", "i", "parity")).over(group)
-    seen = rows.withColumn("centre", centre).withColumn(
-        "own", F.struct("cls", "n", "i", "parity", "doc_id", "line_no")
-    )
-    seen = seen.withColumn("near", can_match("centre", "own")).select("key", "own", "centre", "near")
-    first = seen.where("own.cls <> centre.cls AND near").select(
-        F.col("centre.cls").alias("a"), F.col("own.cls").alias("b"), F.lit(True).alias("skipped")
-    )
-    others = seen.where("own.cls <> centre.cls AND NOT near").select("key", F.col("own").alias("late"))
-    members = seen.where("own.cls <> centre.cls").select("key", F.col("own").alias("early"))
+    seen = shared_keys(sigs)
+    first = seen.where("near").select(F.col("centre.cls").alias("a"), F.col("own.cls").alias("b"), F.lit(True).alias("skipped"))
+    others = seen.where("NOT near").select("key", F.col("own").alias("late"))
+    members = seen.select("key", F.col("own").alias("early"))
     rest = (
         others.join(members, "key")
         .where(_earlier("early", "late") & can_match("early", "late"))
@@ -163,9 +191,9 @@ def candidates(sigs: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs and whether their sets are similar. Only lines of these classes move, by a sketch of the classes."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = byte_sketch(named.select(F.pmod("cls", F.lit(BUCKETS)).alias("bucket"), F.lit(2).alias("code")))
+    wanted = member_bits(named)
     sets = written(
-        lines.where(looked_up(wanted, F.col("cls")) == 2)
+        lines.where(may_be_in(wanted, F.col("cls")))
         .groupBy("cls")
         .agg(F.first("ranked").alias("ranked"))
         .join(named, "cls", "left_semi"),
@@ -193,11 +221,9 @@ def matched_classes(lines: DataFrame) -> DataFrame:
     )
     if again.isEmpty():
         return matched
-    listed = byte_sketch(again.select(F.pmod("cls", F.lit(BUCKETS)).alias("bucket"), F.lit(2).alias("code")))
-    late = grouped(signatures(lines.where(looked_up(listed, F.col("cls")) == 2))).join(again, "cls", "left_semi")
+    late = grouped(signatures(lines.where(may_be_in(member_bits(again), F.col("cls"))))).join(again, "cls", "left_semi")
     late = written(late, "unsettled-keys")
-    keys = byte_sketch(late.select(F.pmod("key", F.lit(BUCKETS)).alias("bucket"), F.lit(2).alias("code")).distinct())
-    early = grouped(sigs.where(looked_up(keys, F.col("key")) == 2))
+    early = grouped(sigs.where(may_be_in(member_bits(late.select("key")), F.col("key"))))
     shape = F.struct("cls", "n", "i", "parity", "doc_id", "line_no")
     more = (
         late.select("key", shape.alias("late"))
@@ -213,25 +239,21 @@ def matched_classes(lines: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """row_key, gone: the numbers of the lines that go, for each document that loses any."""
     lines = line_rows(docs, rarity(docs))
-    classes = written(
-        lines.groupBy("cls").agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.count("*").alias("members")),
-        "line-classes",
-    )
+    places = written(lines.select("cls", "doc_id", "row_key", "line_no"), "line-places")
+    classes = places.groupBy("cls").agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.count("*").alias("members"))
     matched = written(matched_classes(lines), "matched-classes")
     late = classes.join(matched.withColumn("matched", F.lit(True)), "cls", "left").where("matched OR members > 1")
     late = written(late.select("cls", "place", F.coalesce("matched", F.lit(False)).alias("matched")), "late-classes")
-    listed = byte_sketch(late.select(F.pmod("cls", F.lit(BUCKETS)).alias("bucket"), F.lit(2).alias("code")).distinct())
-    members = lines.where(looked_up(listed, F.col("cls")) == 2).select("cls", "doc_id", "row_key", "line_no")
-    gone = members.join(late, "cls").where("matched OR struct(doc_id, line_no) > place")
+    gone = places.join(late, "cls").where("matched OR struct(doc_id, line_no) > place")
     return written(gone.groupBy("row_key").agg(F.collect_set("line_no").alias("gone")), "lines-gone")
 
 
 def edited(docs: DataFrame) -> DataFrame:
     """doc (the row as a struct, its text edited), n_lines and n_removed. Only documents that lose lines move."""
     gone = removed_lines(docs)
-    listed = byte_sketch(gone.select(F.pmod("row_key", F.lit(BUCKETS)).alias("bucket"), F.lit(2).alias("code")))
+    listed = member_bits(gone.select("row_key"))
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), row_key(docs).alias("row_key"))
-    touched = looked_up(listed, F.col("row_key")) == 2
+    touched = may_be_in(listed, F.col("row_key"))
     lines = F.split("doc.text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("gone", i)), "\n")
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines")

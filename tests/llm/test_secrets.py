@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 from quarry.llm import secret_scan
-from tests.llm.test_brute import DOCS, HARD, with_clashes
+from tests.llm.test_brute import HARD, with_clashes
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
