@@ -5,7 +5,7 @@ whole corpus; any common order is right, a better one only makes fewer candidate
 of at least 4/5 share a word in their prefixes, and share two in prefixes one word longer: a rare word is a key by
 itself, a frequent one only together with a second, so that no key gathers much by chance. Candidates pass the length
 filter, the positional filter and a parity filter (64 bits that each word flips one of: the differing bits never exceed
-the differing words), then the sets are compared. Lines of equal sets are one class throughout.
+the differing words), then the sets are compared. Lines of equal text are one class, joined once, at its earliest place.
 
 In each key's group every line first meets the earliest one. Only a line that can't be similar to that one meets the
 others, so that a large family of near copies makes as many candidates as it has members. A line whose first meetings
@@ -22,13 +22,16 @@ from quarry.llm.common import written
 #: Jaccard 4/5 as whole numbers; bits of a membership sketch; buckets of the rarity sketch; the frequency code up to which a word is a key by itself.
 NUM, DEN = 4, 5
 MEMBER_BITS = 1 << 25
-BUCKETS, BLOCK = 1 << 18, 1 << 9
-RARE_CODE = 34
-_SPACE = "[ \\t\\n\\x0B\\f\\r]+"
+BUCKETS, BLOCK = 1 << 20, 1 << 10
+RARE_CODE = 30
+_WORD = "[^ \\t\\n\\x0B\\f\\r]"
 
 
 def byte_sketch(codes: DataFrame) -> Column:
-    """A scalar of BUCKETS bytes from rows (bucket, code); 1 where no row is. Its size doesn't follow the data."""
+    """A literal of BUCKETS bytes from rows (bucket, code); 1 where no row is. Its size doesn't follow the data.
+
+    It has to be a literal, as Spark takes no subquery inside a higher-order function.
+    """
     spark = codes.sparkSession
     filled = (
         codes.select(F.col("bucket").cast("long"), F.col("code").cast("int"))
@@ -39,7 +42,7 @@ def byte_sketch(codes: DataFrame) -> Column:
     one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", F.char("code").alias("c")))), lambda x: x.c), "")
     blocks = filled.groupBy((F.col("bucket") / BLOCK).cast("int").alias("block")).agg(one.alias("part"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda x: x.part), "")
-    return written(blocks.agg(whole.cast("binary").alias("sketch")), "sketch").scalar()
+    return F.lit(bytearray(blocks.agg(whole.cast("binary").alias("sketch")).first().sketch))
 
 
 def looked_up(sketch: Column, value: Column) -> Column:
@@ -69,13 +72,18 @@ def may_be_in(bits: Column, value: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.split(F.lower(text), _SPACE)
+    """The words of a text in lower case, with empty strings among them; cheaper than a split by a pattern."""
+    text = F.lower(text)
+    for space in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.split(text, " ", -1)
 
 
 def rarity(docs: DataFrame) -> Column:
     """How often words occur, four steps to a doubling: code 2 is once; the count is of all words in the bucket."""
     counted = (
         docs.select(F.explode(words(F.col("text"))).alias("word"))
+        .where("word <> ''")
         .groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket"))
         .agg(F.count("*").alias("n"))
     )
@@ -83,55 +91,65 @@ def rarity(docs: DataFrame) -> Column:
     return byte_sketch(counted.select("bucket", code.alias("code")))
 
 
-def line_rows(docs: DataFrame, sketch: Column) -> DataFrame:
-    """doc_id, row_key, line_no, ranked (the words' names, rarest first), cls, n for every line with words."""
-    def ranked(line: Column, held: Column) -> Column:
-        names = F.array_distinct(F.transform(F.array_remove(words(line), ""), lambda w: F.xxhash64(w)))
-        code = lambda x: F.shiftleft(looked_up(held, x).cast("long"), 56)
-        return F.sort_array(F.transform(names, lambda x: code(x).bitwiseOR(F.shiftrightunsigned(x, 8))))
+def row_key(docs: DataFrame) -> Column:
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
-    # Spark takes no subquery inside a higher-order function, so the sketch is a column that an outer one takes up once.
-    rows = docs.select("doc_id", row_key(docs).alias("row_key"), "text", sketch.alias("sketch"))
-    lines = F.transform(
-        F.array("sketch"), lambda held: F.transform(F.split("text", "\n", -1), lambda line: ranked(line, held))
-    )
+
+def line_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key, line_no, line, cls (the text's name) for every line with words."""
+    rows = docs.select("doc_id", row_key(docs).alias("row_key"), "text")
     return (
-        rows.select("doc_id", "row_key", F.posexplode(F.element_at(lines, 1)).alias("line_no", "ranked"))
-        .withColumn("n", F.size("ranked"))
-        .where("n > 0")
-        .withColumn("cls", F.xxhash64("ranked"))
+        rows.select("doc_id", "row_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+        .where(F.col("line").rlike(_WORD))
+        .withColumn("cls", F.xxhash64("line"))
     )
 
 
-def row_key(docs: DataFrame) -> Column:
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+def once_each(lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """cls, line, doc_id, line_no of every class, at its earliest place. Only lines that may be repeated move."""
+    listed = member_bits(repeated.select("cls"))
+    several = (
+        lines.where(may_be_in(listed, F.col("cls")))
+        .groupBy("cls")
+        .agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "line_no")).alias("place"))
+        .select("cls", "line", "place.doc_id", "place.line_no")
+    )
+    return lines.where(~may_be_in(listed, F.col("cls"))).select("cls", "line", "doc_id", "line_no").unionByName(several)
+
+
+def named_words(line: Column) -> Column:
+    return F.transform(F.array_remove(words(line), ""), lambda w: F.xxhash64(w))
+
 
+def ranked(line: Column, sketch: Column) -> Column:
+    """The names of the line's words, rarest first: the rarity code above 56 bits of hash."""
+    code = lambda x: F.shiftleft(looked_up(sketch, x).cast("long"), 56)
+    return F.sort_array(F.array_distinct(F.transform(named_words(line), lambda x: code(x).bitwiseOR(F.shiftrightunsigned(x, 8)))))
 
-def signatures(lines: DataFrame) -> DataFrame:
+
+def signatures(lines: DataFrame, sketch: Column) -> DataFrame:
     """key, cls, n, i (the key's place in the line's order), parity, place (doc_id and line number)."""
     prefix = F.expr(f"n - (n * {NUM} + {DEN - 1}) div {DEN} + 1").cast("int")
-    parity = F.aggregate("ranked", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))))
-
-    def keys(i: Column) -> Column:
-        own = F.element_at("ranked", i)
-        code = F.shiftright(own, 56)
-        pairs = F.transform(
-            F.slice("ranked", i + 1, F.greatest(F.lit(0), F.col("p") + 1 - i)),
-            lambda other: F.struct(F.xxhash64(own, other).alias("key"), i.alias("i")),
-        )
-        alone = F.array(F.struct(own.alias("key"), i.alias("i")))
-        return F.when(code <= 2, F.slice(alone, 1, 0)).when(code <= RARE_CODE, alone).otherwise(pairs)
-
-    # Sets of fewer than 4 words have no partner but their equals.
-    return (
-        lines.where("n >= 4")
-        .withColumn("p", prefix)
-        .select(
-            "doc_id", "line_no", "cls", "n", parity.alias("parity"),
-            F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.col("p")), keys))).alias("k"),
-        )
-        .select("k.key", "cls", "n", "k.i", "parity", "doc_id", "line_no")
+    parity = F.aggregate(
+        "ranked",
+        F.lit(0).cast("long"),
+        lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))),
+    )
+    rows = lines.select("cls", "doc_id", "line_no", ranked(F.col("line"), sketch).alias("ranked"))
+    rows = rows.select("*", F.size("ranked").alias("n"), parity.alias("parity")).withColumn("p", prefix)
+    # Sets of fewer than 4 words have no partner but their equals: the whole set is their key.
+    whole = F.col("n") < 4
+    firsts = F.when(whole, F.array(F.xxhash64("ranked"))).otherwise(F.slice("ranked", F.lit(1), F.col("p")))
+    rows = rows.select("*", F.posexplode(firsts).alias("pos", "own"))
+    code = F.shiftright("own", 56)
+    rows = rows.where(whole | (code > 2))
+    alone = whole | (code <= RARE_CODE)
+    seconds = F.when(alone, F.array(F.lit(0).cast("long"))).otherwise(
+        F.slice("ranked", F.col("pos") + 2, F.col("p") - F.col("pos"))
     )
+    rows = rows.select("cls", "doc_id", "line_no", "n", "parity", "pos", "own", alone.alias("alone"), F.explode(seconds).alias("other"))
+    key = F.when(F.col("alone"), F.col("own")).otherwise(F.xxhash64("own", "other"))
+    return rows.select(key.alias("key"), "cls", "n", (F.col("pos") + 1).alias("i"), "parity", "doc_id", "line_no")
 
 
 def can_match(a: str, b: str) -> Column:
@@ -148,69 +166,55 @@ def _earlier(a: str, b: str) -> Column:
     return F.struct(f"{a}.doc_id", f"{a}.line_no", f"{a}.cls") < F.struct(f"{b}.doc_id", f"{b}.line_no", f"{b}.cls")
 
 
-def grouped(sigs: DataFrame) -> DataFrame:
-    """One row per key and class, with the class's earliest place; all of a key in one partition."""
-    return (
-        sigs.repartition("key")
-        .groupBy("key", "cls")
-        .agg(
-            F.min(F.struct("doc_id", "line_no")).alias("place"),
-            F.first("n").alias("n"),
-            F.min("i").alias("i"),
-            F.first("parity").alias("parity"),
-        )
-        .select("key", "cls", "n", "i", "parity", "place.doc_id", "place.line_no")
-    )
-
-
 def shared_keys(sigs: DataFrame) -> DataFrame:
-    """The grouped rows of keys that several classes have, each with its group's earliest member and whether the two
-    can be similar: written once, as three readers need it."""
+    """The rows of keys that several classes have, but for the earliest of each group: key, own, that class (first) and
+    whether the two can be similar (near). Written once, as several readers need it."""
     group = Window.partitionBy("key")
     centre = F.first(F.struct("cls", "n", "i", "parity")).over(group.orderBy("doc_id", "line_no", "cls"))
     own = F.struct("cls", "n", "i", "parity", "doc_id", "line_no").alias("own")
-    rows = grouped(sigs).withColumns({"centre": centre, "members": F.count("*").over(group)}).where("members > 1")
-    rows = rows.select("key", own, "centre").where("own.cls <> centre.cls")
-    return written(rows.withColumn("near", can_match("centre", "own")), "shared-keys")
+    rows = sigs.withColumn("centre", centre).select("key", own, "centre").where("own.cls <> centre.cls")
+    return written(rows.select("key", "own", F.col("centre.cls").alias("first"), can_match("centre", "own").alias("near")), "shared-keys")
 
 
-def candidates(sigs: DataFrame) -> DataFrame:
-    """a (earlier class), b, skipped: b's other earlier candidates of the group were left out."""
-    seen = shared_keys(sigs)
-    first = seen.where("near").select(F.col("centre.cls").alias("a"), F.col("own.cls").alias("b"), F.lit(True).alias("skipped"))
-    others = seen.where("NOT near").select("key", F.col("own").alias("late"))
+def meetings(late: DataFrame, seen: DataFrame) -> DataFrame:
+    """a (earlier class), b: the rows ``late`` (key, late) with all earlier members of their groups but the first."""
     members = seen.select("key", F.col("own").alias("early"))
-    rest = (
-        others.join(members, "key")
+    return (
+        late.join(members, "key")
         .where(_earlier("early", "late") & can_match("early", "late"))
         .select(F.col("early.cls").alias("a"), F.col("late.cls").alias("b"), F.lit(False).alias("skipped"))
     )
+
+
+def candidates(seen: DataFrame) -> DataFrame:
+    """a (earlier class), b, skipped: b's other earlier candidates of the group were left out."""
+    first = seen.where("near").select(F.col("first").alias("a"), F.col("own.cls").alias("b"), F.lit(True).alias("skipped"))
+    rest = meetings(seen.where("NOT near").select("key", F.col("own").alias("late")), seen)
     return first.unionByName(rest).groupBy("a", "b").agg(F.max("skipped").alias("skipped"))
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs and whether their sets are similar. Only lines of these classes move, by a sketch of the classes."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = member_bits(named)
-    sets = written(
-        lines.where(may_be_in(wanted, F.col("cls")))
+    texts = (
+        lines.where(may_be_in(member_bits(named), F.col("cls")))
         .groupBy("cls")
-        .agg(F.first("ranked").alias("ranked"))
-        .join(named, "cls", "left_semi"),
-        "line-sets",
+        .agg(F.first("line").alias("line"))
+        .join(named, "cls", "left_semi")
     )
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("ranked").alias("left")), "a").join(
-        sets.select(F.col("cls").alias("b"), F.col("ranked").alias("right")), "b"
+    sets = written(texts.select("cls", F.array_distinct(named_words(F.col("line"))).alias("names")), "line-sets")
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("names").alias("left")), "a").join(
+        sets.select(F.col("cls").alias("b"), F.col("names").alias("right")), "b"
     )
     overlap = F.size(F.array_intersect("left", "right"))
     union = F.size("left") + F.size("right") - overlap
     return both.select("a", "b", "skipped", (overlap * DEN >= union * NUM).alias("similar"))
 
 
-def matched_classes(lines: DataFrame) -> DataFrame:
+def matched_classes(lines: DataFrame, repeated: DataFrame, sketch: Column) -> DataFrame:
     """cls of every class that some earlier class is similar to."""
-    sigs = signatures(lines)
-    judged = written(verified(written(candidates(sigs), "line-pairs"), lines), "judged-pairs")
+    seen = shared_keys(signatures(once_each(lines, repeated), sketch))
+    judged = written(verified(written(candidates(seen), "line-pairs"), lines), "judged-pairs")
     matched = judged.where("similar").select(F.col("b").alias("cls")).distinct()
     again = written(
         judged.groupBy(F.col("b").alias("cls"))
@@ -221,29 +225,24 @@ def matched_classes(lines: DataFrame) -> DataFrame:
     )
     if again.isEmpty():
         return matched
-    late = grouped(signatures(lines.where(may_be_in(member_bits(again), F.col("cls"))))).join(again, "cls", "left_semi")
-    late = written(late, "unsettled-keys")
-    early = grouped(sigs.where(may_be_in(member_bits(late.select("key")), F.col("key"))))
-    shape = F.struct("cls", "n", "i", "parity", "doc_id", "line_no")
-    more = (
-        late.select("key", shape.alias("late"))
-        .join(early.select("key", shape.alias("early")), "key")
-        .where(_earlier("early", "late") & can_match("early", "late"))
-        .select(F.col("early.cls").alias("a"), F.col("late.cls").alias("b"), F.lit(False).alias("skipped"))
-        .distinct()
-    )
+    late = seen.where("near").join(again, F.col("own.cls") == F.col("cls"), "left_semi")
+    more = meetings(late.select("key", F.col("own").alias("late")), seen).distinct()
     found = verified(written(more, "more-pairs"), lines).where("similar").select(F.col("b").alias("cls"))
     return matched.unionByName(found).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """row_key, gone: the numbers of the lines that go, for each document that loses any."""
-    lines = line_rows(docs, rarity(docs))
+    lines = line_rows(docs)
     places = written(lines.select("cls", "doc_id", "row_key", "line_no"), "line-places")
-    classes = places.groupBy("cls").agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.count("*").alias("members"))
-    matched = written(matched_classes(lines), "matched-classes")
-    late = classes.join(matched.withColumn("matched", F.lit(True)), "cls", "left").where("matched OR members > 1")
-    late = written(late.select("cls", "place", F.coalesce("matched", F.lit(False)).alias("matched")), "late-classes")
+    repeated = (
+        places.groupBy("cls")
+        .agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.count("*").alias("members"))
+        .where("members > 1")
+    )
+    repeated = written(repeated.select("cls", "place"), "repeated-lines")
+    matched = matched_classes(lines, repeated, rarity(docs)).withColumn("matched", F.lit(True))
+    late = written(repeated.join(matched, "cls", "full"), "late-classes")
     gone = places.join(late, "cls").where("matched OR struct(doc_id, line_no) > place")
     return written(gone.groupBy("row_key").agg(F.collect_set("line_no").alias("gone")), "lines-gone")
 
