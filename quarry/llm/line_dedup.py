@@ -7,9 +7,9 @@ itself, a frequent one only together with a second, so that no key gathers much
 filter, the positional filter and a parity filter (64 bits that each word flips one of: the differing bits never exceed
 the differing words), then the sets are compared. Lines of equal text are one class, joined once, at its earliest place.
 
-In each key's group every line first meets the earliest one. Only a line that can't be similar to that one meets the
-others, so that a large family of near copies makes as many candidates as it has members. A line whose first meetings
-all fail the comparison goes through its groups again, against every earlier member.
+In a small group every line meets every earlier one. In a large group it first meets the earliest; only a line that
+can't be similar to that one meets the others, so that a large family of near copies makes as many candidates as it has
+members. A line whose first meetings all fail the comparison goes through its groups again, against every earlier member.
 """
 
 from __future__ import annotations
@@ -19,19 +19,18 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import written
 
-#: Jaccard 4/5 as whole numbers; bits of a membership sketch; buckets of the rarity sketch; the frequency code up to which a word is a key by itself.
+#: Jaccard 4/5 as whole numbers; bits of a membership sketch; buckets of the rarity sketch; the frequency code up to which a word is a key by itself;
+#: members up to which a key's group is joined with itself at once.
 NUM, DEN = 4, 5
 MEMBER_BITS = 1 << 25
 BUCKETS, BLOCK = 1 << 20, 1 << 10
 RARE_CODE = 30
+SMALL = 128
 _WORD = "[^ \\t\\n\\x0B\\f\\r]"
 
 
 def byte_sketch(codes: DataFrame) -> Column:
-    """A literal of BUCKETS bytes from rows (bucket, code); 1 where no row is. Its size doesn't follow the data.
-
-    It has to be a literal, as Spark takes no subquery inside a higher-order function.
-    """
+    """A scalar of BUCKETS bytes from rows (bucket, code); 1 where no row is. Its size doesn't follow the data."""
     spark = codes.sparkSession
     filled = (
         codes.select(F.col("bucket").cast("long"), F.col("code").cast("int"))
@@ -42,7 +41,7 @@ def byte_sketch(codes: DataFrame) -> Column:
     one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", F.char("code").alias("c")))), lambda x: x.c), "")
     blocks = filled.groupBy((F.col("bucket") / BLOCK).cast("int").alias("block")).agg(one.alias("part"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda x: x.part), "")
-    return F.lit(bytearray(blocks.agg(whole.cast("binary").alias("sketch")).first().sketch))
+    return written(blocks.agg(whole.cast("binary").alias("sketch")), "sketch").scalar()
 
 
 def looked_up(sketch: Column, value: Column) -> Column:
@@ -121,10 +120,19 @@ def named_words(line: Column) -> Column:
     return F.transform(F.array_remove(words(line), ""), lambda w: F.xxhash64(w))
 
 
-def ranked(line: Column, sketch: Column) -> Column:
-    """The names of the line's words, rarest first: the rarity code above 56 bits of hash."""
-    code = lambda x: F.shiftleft(looked_up(sketch, x).cast("long"), 56)
-    return F.sort_array(F.array_distinct(F.transform(named_words(line), lambda x: code(x).bitwiseOR(F.shiftrightunsigned(x, 8)))))
+def ranked(lines: DataFrame, sketch: Column) -> DataFrame:
+    """cls, doc_id, line_no, ranked: the names of the line's words, rarest first (the rarity code above 56 bits of hash).
+
+    Spark takes no subquery inside a higher-order function, so an outer one takes the sketch from a column. The optimizer
+    puts the subquery in the column's place: no row carries the sketch.
+    """
+    def coded(held: Column, x: Column) -> Column:
+        return F.shiftleft(looked_up(held, x).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
+
+    names = F.transform(F.array("held"), lambda held: F.transform(named_words(F.col("line")), lambda x: coded(held, x)))
+    return lines.select("cls", "doc_id", "line_no", "line", sketch.alias("held")).select(
+        "cls", "doc_id", "line_no", F.sort_array(F.array_distinct(F.element_at(names, 1))).alias("ranked")
+    )
 
 
 def signatures(lines: DataFrame, sketch: Column) -> DataFrame:
@@ -135,8 +143,12 @@ def signatures(lines: DataFrame, sketch: Column) -> DataFrame:
         F.lit(0).cast("long"),
         lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))),
     )
-    rows = lines.select("cls", "doc_id", "line_no", ranked(F.col("line"), sketch).alias("ranked"))
-    rows = rows.select("*", F.size("ranked").alias("n"), parity.alias("parity")).withColumn("p", prefix)
+    # Never null, else the join asks one side for that, and the sides no longer share their exchange.
+    zero = F.lit(0)
+    rows = ranked(lines, sketch).select(
+        "*", F.coalesce(F.size("ranked"), zero).alias("n"), F.coalesce(parity, zero.cast("long")).alias("parity")
+    )
+    rows = rows.withColumn("p", prefix)
     # Sets of fewer than 4 words have no partner but their equals: the whole set is their key.
     whole = F.col("n") < 4
     firsts = F.when(whole, F.array(F.xxhash64("ranked"))).otherwise(F.slice("ranked", F.lit(1), F.col("p")))
@@ -149,7 +161,7 @@ def signatures(lines: DataFrame, sketch: Column) -> DataFrame:
     )
     rows = rows.select("cls", "doc_id", "line_no", "n", "parity", "pos", "own", alone.alias("alone"), F.explode(seconds).alias("other"))
     key = F.when(F.col("alone"), F.col("own")).otherwise(F.xxhash64("own", "other"))
-    return rows.select(key.alias("key"), "cls", "n", (F.col("pos") + 1).alias("i"), "parity", "doc_id", "line_no")
+    return rows.select(F.coalesce(key, zero.cast("long")).alias("key"), "cls", "n", (F.col("pos") + 1).alias("i"), "parity", "doc_id", "line_no")
 
 
 def can_match(a: str, b: str) -> Column:
@@ -166,31 +178,40 @@ def _earlier(a: str, b: str) -> Column:
     return F.struct(f"{a}.doc_id", f"{a}.line_no", f"{a}.cls") < F.struct(f"{b}.doc_id", f"{b}.line_no", f"{b}.cls")
 
 
-def shared_keys(sigs: DataFrame) -> DataFrame:
-    """The rows of keys that several classes have, but for the earliest of each group: key, own, that class (first) and
-    whether the two can be similar (near). Written once, as several readers need it."""
+def keyed_groups(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates (a, b, skipped) of the small groups, and of the large ones the rows but for each group's earliest
+    class: key, own, that class (first) and whether the two can be similar (near).
+
+    Both are one table, so that one job makes them from one exchange by key.
+    """
+    dealt = sigs.repartition("key")
     group = Window.partitionBy("key")
+    own = F.struct("cls", "n", "i", "parity", "doc_id", "line_no")
+    counted = dealt.withColumn("members", F.count("*").over(group))
+    small = counted.where(F.col("members").between(2, SMALL)).select("key", own.alias("late"))
+    pairs = meetings(small, dealt.select("key", own.alias("early")))
     centre = F.first(F.struct("cls", "n", "i", "parity")).over(group.orderBy("doc_id", "line_no", "cls"))
-    own = F.struct("cls", "n", "i", "parity", "doc_id", "line_no").alias("own")
-    rows = sigs.withColumn("centre", centre).select("key", own, "centre").where("own.cls <> centre.cls")
-    return written(rows.select("key", "own", F.col("centre.cls").alias("first"), can_match("centre", "own").alias("near")), "shared-keys")
+    large = counted.withColumn("centre", centre).where(F.col("members") > SMALL)
+    large = large.select("key", own.alias("own"), "centre").where("own.cls <> centre.cls")
+    seen = large.select("key", "own", F.col("centre.cls").alias("first"), can_match("centre", "own").alias("near"))
+    both = written(pairs.unionByName(seen, allowMissingColumns=True), "met-or-seen")
+    return both.where("a IS NOT NULL").select(*pairs.columns), both.where("key IS NOT NULL").select(*seen.columns)
 
 
-def meetings(late: DataFrame, seen: DataFrame) -> DataFrame:
-    """a (earlier class), b: the rows ``late`` (key, late) with all earlier members of their groups but the first."""
-    members = seen.select("key", F.col("own").alias("early"))
+def meetings(late: DataFrame, early: DataFrame) -> DataFrame:
+    """a (earlier class), b, skipped (no): the rows (key, late) with the earlier of the rows (key, early)."""
     return (
-        late.join(members, "key")
+        late.join(early, "key")
         .where(_earlier("early", "late") & can_match("early", "late"))
         .select(F.col("early.cls").alias("a"), F.col("late.cls").alias("b"), F.lit(False).alias("skipped"))
     )
 
 
-def candidates(seen: DataFrame) -> DataFrame:
+def candidates(small: DataFrame, seen: DataFrame) -> DataFrame:
     """a (earlier class), b, skipped: b's other earlier candidates of the group were left out."""
     first = seen.where("near").select(F.col("first").alias("a"), F.col("own.cls").alias("b"), F.lit(True).alias("skipped"))
-    rest = meetings(seen.where("NOT near").select("key", F.col("own").alias("late")), seen)
-    return first.unionByName(rest).groupBy("a", "b").agg(F.max("skipped").alias("skipped"))
+    rest = meetings(seen.where("NOT near").select("key", F.col("own").alias("late")), seen.select("key", F.col("own").alias("early")))
+    return small.unionByName(first).unionByName(rest).groupBy("a", "b").agg(F.max("skipped").alias("skipped"))
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -213,8 +234,8 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def matched_classes(lines: DataFrame, repeated: DataFrame, sketch: Column) -> DataFrame:
     """cls of every class that some earlier class is similar to."""
-    seen = shared_keys(signatures(once_each(lines, repeated), sketch))
-    judged = written(verified(written(candidates(seen), "line-pairs"), lines), "judged-pairs")
+    small, seen = keyed_groups(signatures(once_each(lines, repeated), sketch))
+    judged = written(verified(written(candidates(small, seen), "line-pairs"), lines), "judged-pairs")
     matched = judged.where("similar").select(F.col("b").alias("cls")).distinct()
     again = written(
         judged.groupBy(F.col("b").alias("cls"))
@@ -226,7 +247,7 @@ def matched_classes(lines: DataFrame, repeated: DataFrame, sketch: Column) -> Da
     if again.isEmpty():
         return matched
     late = seen.where("near").join(again, F.col("own.cls") == F.col("cls"), "left_semi")
-    more = meetings(late.select("key", F.col("own").alias("late")), seen).distinct()
+    more = meetings(late.select("key", F.col("own").alias("late")), seen.select("key", F.col("own").alias("early"))).distinct()
     found = verified(written(more, "more-pairs"), lines).where("similar").select(F.col("b").alias("cls"))
     return matched.unionByName(found).distinct()
 
