@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from quarry.llm.common import written
 
 #: Jaccard 4/5 as whole numbers; bits of a membership sketch; buckets of the rarity sketch; the frequency code up to which a word is a key by itself;
-#: members up to which a key's group is joined with itself at once.
+#: members up to which a key's group is joined with itself at once; words from which a set has a wide parity.
 NUM, DEN = 4, 5
 MEMBER_BITS = 1 << 25
 BUCKETS, BLOCK = 1 << 20, 1 << 10
 RARE_CODE = 30
 SMALL = 128
+WIDE = 48
 _WORD = "[^ \\t\\n\\x0B\\f\\r]"
 
 
@@ -214,8 +215,27 @@ def candidates(small: DataFrame, seen: DataFrame) -> DataFrame:
     return small.unionByName(first).unionByName(rest).groupBy("a", "b").agg(F.max("skipped").alias("skipped"))
 
 
+def wide_parity(k: int) -> Column:
+    """Of 256 bits that each name flips one of, the k-th 64; null for sets under WIDE names, where the pairs' 64 do."""
+    names = F.filter("names", lambda x: F.shiftrightunsigned(x, 8).bitwiseAND(F.lit(3)) == k)
+    flip = lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
+    return F.when(F.size("names") >= WIDE, F.aggregate(names, F.lit(0).cast("long"), flip)).alias(f"p{k}")
+
+
+def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs less those whose wide parities differ in more bits than similar sets can: long sets then move seldom."""
+    def marks(side: str) -> DataFrame:
+        return sets.select(F.col("cls").alias(side), F.struct("n", "p0", "p1", "p2", "p3").alias(f"{side}_marks"))
+
+    both = pairs.join(marks("a"), "a").join(marks("b"), "b")
+    total = F.col("a_marks.n") + F.col("b_marks.n")
+    most = total - 2 * F.ceil(total * NUM / (NUM + DEN))
+    bits = sum((F.bit_count(F.col(f"a_marks.p{k}").bitwiseXOR(F.col(f"b_marks.p{k}"))) for k in range(4)), F.lit(0))
+    return both.where(F.coalesce(bits <= most, F.lit(True))).select(*pairs.columns)
+
+
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs and whether their sets are similar. Only lines of these classes move, by a sketch of the classes."""
+    """The pairs that can be similar and whether they are. Only lines of these classes move, by a sketch of the classes."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     texts = (
         lines.where(may_be_in(member_bits(named), F.col("cls")))
@@ -223,9 +243,12 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
         .agg(F.first("line").alias("line"))
         .join(named, "cls", "left_semi")
     )
-    sets = written(texts.select("cls", F.array_distinct(named_words(F.col("line"))).alias("names")), "line-sets")
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("names").alias("left")), "a").join(
-        sets.select(F.col("cls").alias("b"), F.col("names").alias("right")), "b"
+    names = texts.select("cls", F.array_distinct(named_words(F.col("line"))).alias("names"))
+    sets = written(names.select("*", F.size("names").alias("n"), *map(wide_parity, range(4))), "line-sets")
+    both = (
+        likely(pairs, sets)
+        .join(sets.select(F.col("cls").alias("a"), F.col("names").alias("left")), "a")
+        .join(sets.select(F.col("cls").alias("b"), F.col("names").alias("right")), "b")
     )
     overlap = F.size(F.array_intersect("left", "right"))
     union = F.size("left") + F.size("right") - overlap
@@ -235,14 +258,11 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def matched_classes(lines: DataFrame, repeated: DataFrame, sketch: Column) -> DataFrame:
     """cls of every class that some earlier class is similar to."""
     small, seen = keyed_groups(signatures(once_each(lines, repeated), sketch))
-    judged = written(verified(written(candidates(small, seen), "line-pairs"), lines), "judged-pairs")
+    met = written(candidates(small, seen), "line-pairs")
+    judged = written(verified(met, lines), "judged-pairs")
     matched = judged.where("similar").select(F.col("b").alias("cls")).distinct()
     again = written(
-        judged.groupBy(F.col("b").alias("cls"))
-        .agg(F.max("skipped").alias("skipped"), F.max("similar").alias("similar"))
-        .where("skipped AND NOT similar")
-        .select("cls"),
-        "unsettled",
+        met.where("skipped").select(F.col("b").alias("cls")).distinct().join(matched, "cls", "left_anti"), "unsettled"
     )
     if again.isEmpty():
         return matched
