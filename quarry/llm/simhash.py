@@ -170,7 +170,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4, largest: int =
     The one with the least doc_id stays (null last), of several rows with that doc_id the one whose text hashes lowest,
     and of rows that repeat it wholly, one. Else as for ``components``.
     """
-    rows = written(grouped(docs, shingle, radius, largest), "grouped")
+    return first_of_groups(docs, written(grouped(docs, shingle, radius, largest), "grouped"))
+
+
+def first_of_groups(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents that ``keep_one`` keeps, from rows (doc_id, mark, root)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("first")
     keepers = written(
         rows.groupBy("root").agg(first).select("first.doc_id", "first.mark"),
