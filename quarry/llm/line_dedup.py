@@ -7,26 +7,35 @@ itself, a frequent one only together with a second, so that no key gathers much
 filter, the positional filter and a parity filter (64 bits that each word flips one of: the differing bits never exceed
 the differing words), then the sets are compared. Lines of equal text are one class, joined once, at its earliest place.
 
-In a small group every line meets every earlier one. In a large group it first meets the earliest; only a line that
-can't be similar to that one meets the others, so that a large family of near copies makes as many candidates as it has
-members. A line whose first meetings all fail the comparison goes through its groups again, against every earlier member.
+In a small group every line meets every earlier one. In a larger group it first meets the earliest, so that a large
+family of near copies makes as many candidates as it has members; a line that can't be similar to that one, or turns out
+not to be, meets the others too. In very large groups it does so in turns, the next few earlier members first and eight
+times as many each turn, and leaves as soon as one is similar. Two words that are both so frequent that very many lines
+must have them by chance are a key only together with a third. Of two lines the shorter has the rarest common word in a prefix of one ninth of its words: only such rows look for others.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import written
 
-#: Jaccard 4/5 as whole numbers; bits of a membership sketch; buckets of the rarity sketch; the frequency code up to which a word is a key by itself;
-#: members up to which a key's group is joined with itself at once; words from which a set has a wide parity.
+#: Jaccard 4/5 as whole numbers; bits of a membership sketch; buckets of the rarity sketch; members up to which all of a
+#: group meet; members up to which a group is joined with itself at once, and its frequency code: up to that a word is a
+#: key by itself (one row that is compared with up to so many others costs less than the rows of its pairs of words);
+#: words from which a set has a wide parity; pairs of one earlier class that are compared in one lane; earlier members
+#: that the first turn through a large group takes, and how many times as many each turn after it.
 NUM, DEN = 4, 5
 MEMBER_BITS = 1 << 25
 BUCKETS, BLOCK = 1 << 20, 1 << 10
-RARE_CODE = 30
-SMALL = 128
+SMALL, LARGE = 128, 1024
+RARE_CODE = 42
 WIDE = 48
+LANE = 64
+TURN, GROWTH = 16, 8
 _WORD = "[^ \\t\\n\\x0B\\f\\r]"
 
 
@@ -136,8 +145,8 @@ def ranked(lines: DataFrame, sketch: Column) -> DataFrame:
     )
 
 
-def signatures(lines: DataFrame, sketch: Column) -> DataFrame:
-    """key, cls, n, i (the key's place in the line's order), parity, place (doc_id and line number)."""
+def signatures(lines: DataFrame, sketch: Column, n_lines: int) -> DataFrame:
+    """key, cls, n, i (the place of the key's first word in the line's order), parity, doc_id and line_no."""
     prefix = F.expr(f"n - (n * {NUM} + {DEN - 1}) div {DEN} + 1").cast("int")
     parity = F.aggregate(
         "ranked",
@@ -156,13 +165,20 @@ def signatures(lines: DataFrame, sketch: Column) -> DataFrame:
     rows = rows.select("*", F.posexplode(firsts).alias("pos", "own"))
     code = F.shiftright("own", 56)
     rows = rows.where(whole | (code > 2))
-    alone = whole | (code <= RARE_CODE)
-    seconds = F.when(alone, F.array(F.lit(0).cast("long"))).otherwise(
-        F.slice("ranked", F.col("pos") + 2, F.col("p") - F.col("pos"))
-    )
-    rows = rows.select("cls", "doc_id", "line_no", "n", "parity", "pos", "own", alone.alias("alone"), F.explode(seconds).alias("other"))
-    key = F.when(F.col("alone"), F.col("own")).otherwise(F.xxhash64("own", "other"))
-    return rows.select(F.coalesce(key, zero.cast("long")).alias("key"), "cls", "n", (F.col("pos") + 1).alias("i"), "parity", "doc_id", "line_no")
+    # Codes are four times the logarithm, plus 2: the lines that have two words by chance.
+    often = (RARE_CODE - 2) + 4 * math.log2(max(n_lines, 1))
+
+    def pair_keys(second: Column, at: Column) -> Column:
+        thirds = F.slice("ranked", F.col("pos") + at + 3, F.greatest(F.col("p") - F.col("pos") - at, zero))
+        crowded = code + F.shiftright(second, 56) - 4 > often
+        return F.when(crowded, F.transform(thirds, lambda third: F.xxhash64("own", second, third))).otherwise(
+            F.array(F.xxhash64("own", second))
+        )
+
+    seconds = F.slice("ranked", F.col("pos") + 2, F.col("p") - F.col("pos"))
+    keys = F.when(whole | (code <= RARE_CODE), F.array("own")).otherwise(F.flatten(F.transform(seconds, pair_keys)))
+    rows = rows.select("cls", "doc_id", "line_no", "n", "parity", "pos", F.explode(keys).alias("key"))
+    return rows.select(F.coalesce("key", zero.cast("long")).alias("key"), "cls", "n", (F.col("pos") + 1).alias("i"), "parity", "doc_id", "line_no")
 
 
 def can_match(a: str, b: str) -> Column:
@@ -179,40 +195,72 @@ def _earlier(a: str, b: str) -> Column:
     return F.struct(f"{a}.doc_id", f"{a}.line_no", f"{a}.cls") < F.struct(f"{b}.doc_id", f"{b}.line_no", f"{b}.cls")
 
 
-def keyed_groups(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidates (a, b, skipped) of the small groups, and of the large ones the rows but for each group's earliest
-    class: key, own, that class (first) and whether the two can be similar (near).
+def keyed_groups(sigs: DataFrame) -> DataFrame:
+    """Two kinds of rows in one table, so that one job makes them from one exchange by key.
 
-    Both are one table, so that one job makes them from one exchange by key.
+    Candidates: a (earlier class), b, members (of their group); key is null. Of groups that are gone through again (those
+    over LARGE, and those over SMALL with lines that only met the earliest): key, own, nth (its place), members, first
+    (the earliest class) and near (whether the two can be similar), for all other classes of the group.
     """
-    dealt = sigs.repartition("key")
-    group = Window.partitionBy("key")
-    own = F.struct("cls", "n", "i", "parity", "doc_id", "line_no")
-    counted = dealt.withColumn("members", F.count("*").over(group))
-    small = counted.where(F.col("members").between(2, SMALL)).select("key", own.alias("late"))
-    pairs = meetings(small, dealt.select("key", own.alias("early")))
-    centre = F.first(F.struct("cls", "n", "i", "parity")).over(group.orderBy("doc_id", "line_no", "cls"))
-    large = counted.withColumn("centre", centre).where(F.col("members") > SMALL)
-    large = large.select("key", own.alias("own"), "centre").where("own.cls <> centre.cls")
-    seen = large.select("key", "own", F.col("centre.cls").alias("first"), can_match("centre", "own").alias("near"))
-    both = written(pairs.unionByName(seen, allowMissingColumns=True), "met-or-seen")
-    return both.where("a IS NOT NULL").select(*pairs.columns), both.where("key IS NOT NULL").select(*seen.columns)
+    group = Window.partitionBy("key").orderBy("doc_id", "line_no", "cls")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = sigs.repartition("key").select(
+        "*",
+        F.row_number().over(group).alias("nth"),
+        F.count("*").over(whole).alias("members"),
+        F.first(F.struct("n", "i", "parity")).over(whole).alias("centre"),
+    )
+    row = F.struct("cls", "n", "i", "parity", "doc_id", "line_no")
+    counted = counted.select("key", row.alias("own"), "centre", "nth", "members").where("members > 1")
+    near = (F.col("members") > SMALL) & (F.col("nth") > 1) & can_match("centre", "own")
+    counted = counted.select("key", "own", "nth", "members", near.alias("near"))
+    again = F.max(F.col("near")).over(Window.partitionBy("key")) | (F.col("members") > LARGE)
+    counted = counted.withColumn("again", again)
+    left = counted.where(F.col("again") | (F.col("own.i") <= _index("own"))).alias("l")
+    right = counted.where((F.col("members") <= LARGE) | (F.col("nth") == 1)).select("key", "own", "nth", "near").alias("r")
+    l_first, big = F.col("l.nth") < F.col("r.nth"), F.col("l.members") > SMALL
+    to_centre = F.col("l.again") & (F.col("r.nth") == 1) & (F.col("l.nth") > 1)
+    shorter = F.struct("l.own.n", "l.own.cls") < F.struct("r.own.n", "r.own.cls")
+    in_turn = ~big | F.when(l_first, (F.col("l.nth") == 1) | ~F.col("r.near")).otherwise((F.col("r.nth") == 1) | ~F.col("l.near"))
+    centred = F.col("l.again") & (F.least("l.nth", "r.nth") == 1)
+    meet = (F.col("l.members") <= LARGE) & (F.col("l.own.i") <= _index("l.own")) & shorter & in_turn & ~centred
+    both = left.join(right, (F.col("l.key") == F.col("r.key")) & (to_centre | (meet & can_match("l.own", "r.own"))))
+    a, b = F.col("l.own.cls"), F.col("r.own.cls")
+    return written(
+        both.select(
+            F.when(~to_centre, F.when(l_first, a).otherwise(b)).alias("a"),
+            F.when(~to_centre, F.when(l_first, b).otherwise(a)).alias("b"),
+            F.when(to_centre, F.col("l.key")).alias("key"),
+            F.when(to_centre, F.col("l.own")).alias("own"),
+            F.when(to_centre, b).alias("first"),
+            F.col("l.near").alias("near"),
+            F.col("l.nth").alias("nth"),
+            F.col("l.members").alias("members"),
+        ),
+        "met-or-seen",
+    )
+
+
+def _index(row: str) -> Column:
+    """The prefix in which a line has the rarest word in common with a similar line that isn't shorter."""
+    n = F.col(f"{row}.n")
+    return n - F.ceil(n * 2 * NUM / (NUM + DEN)) + 1
 
 
 def meetings(late: DataFrame, early: DataFrame) -> DataFrame:
-    """a (earlier class), b, skipped (no): the rows (key, late) with the earlier of the rows (key, early)."""
+    """a (earlier class), b, members: the rows (key, late, members) with the earlier of the rows (key, early)."""
     return (
         late.join(early, "key")
         .where(_earlier("early", "late") & can_match("early", "late"))
-        .select(F.col("early.cls").alias("a"), F.col("late.cls").alias("b"), F.lit(False).alias("skipped"))
+        .select(F.col("early.cls").alias("a"), F.col("late.cls").alias("b"), "members")
     )
 
 
-def candidates(small: DataFrame, seen: DataFrame) -> DataFrame:
-    """a (earlier class), b, skipped: b's other earlier candidates of the group were left out."""
-    first = seen.where("near").select(F.col("first").alias("a"), F.col("own.cls").alias("b"), F.lit(True).alias("skipped"))
-    rest = meetings(seen.where("NOT near").select("key", F.col("own").alias("late")), seen.select("key", F.col("own").alias("early")))
-    return small.unionByName(first).unionByName(rest).groupBy("a", "b").agg(F.max("skipped").alias("skipped"))
+def candidates(met: DataFrame, seen: DataFrame) -> DataFrame:
+    """a (earlier class), b, members, skipped: b's other earlier candidates of the group were left out."""
+    first = seen.where("near").select(F.col("first").alias("a"), F.col("own.cls").alias("b"), "members", F.lit(True).alias("skipped"))
+    full = met.select("a", "b", "members").withColumn("skipped", F.lit(False))
+    return full.unionByName(first).groupBy("a", "b").agg(F.max("members").alias("members"), F.max("skipped").alias("skipped"))
 
 
 def wide_parity(k: int) -> Column:
@@ -222,12 +270,21 @@ def wide_parity(k: int) -> Column:
     return F.when(F.size("names") >= WIDE, F.aggregate(names, F.lit(0).cast("long"), flip)).alias(f"p{k}")
 
 
+def joined(pairs: DataFrame, a_side: DataFrame, b_side: DataFrame) -> DataFrame:
+    """The pairs with the columns of both classes: ``a_side`` by a, ``b_side`` by b.
+
+    One earlier class may be in very many pairs. Its row goes to as many lanes as its pairs are dealt to.
+    """
+    lanes = pairs.select("a", "lane").distinct().join(a_side, "a")
+    return pairs.join(lanes, ["a", "lane"]).join(b_side, "b")
+
+
 def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs less those whose wide parities differ in more bits than similar sets can: long sets then move seldom."""
     def marks(side: str) -> DataFrame:
         return sets.select(F.col("cls").alias(side), F.struct("n", "p0", "p1", "p2", "p3").alias(f"{side}_marks"))
 
-    both = pairs.join(marks("a"), "a").join(marks("b"), "b")
+    both = joined(pairs, marks("a"), marks("b"))
     total = F.col("a_marks.n") + F.col("b_marks.n")
     most = total - 2 * F.ceil(total * NUM / (NUM + DEN))
     bits = sum((F.bit_count(F.col(f"a_marks.p{k}").bitwiseXOR(F.col(f"b_marks.p{k}"))) for k in range(4)), F.lit(0))
@@ -245,35 +302,43 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     )
     names = texts.select("cls", F.array_distinct(named_words(F.col("line"))).alias("names"))
     sets = written(names.select("*", F.size("names").alias("n"), *map(wide_parity, range(4))), "line-sets")
-    both = (
-        likely(pairs, sets)
-        .join(sets.select(F.col("cls").alias("a"), F.col("names").alias("left")), "a")
-        .join(sets.select(F.col("cls").alias("b"), F.col("names").alias("right")), "b")
+    lane = F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / LANE))
+    dealt = pairs.select("a", "b", "skipped", lane.alias("lane"))
+    both = joined(
+        likely(dealt, sets),
+        sets.select(F.col("cls").alias("a"), F.col("names").alias("left")),
+        sets.select(F.col("cls").alias("b"), F.col("names").alias("right")),
     )
     overlap = F.size(F.array_intersect("left", "right"))
     union = F.size("left") + F.size("right") - overlap
     return both.select("a", "b", "skipped", (overlap * DEN >= union * NUM).alias("similar"))
 
 
-def matched_classes(lines: DataFrame, repeated: DataFrame, sketch: Column) -> DataFrame:
+def matched_classes(lines: DataFrame, repeated: DataFrame, sketch: Column, n_lines: int) -> DataFrame:
     """cls of every class that some earlier class is similar to."""
-    small, seen = keyed_groups(signatures(once_each(lines, repeated), sketch))
-    met = written(candidates(small, seen), "line-pairs")
+    both = keyed_groups(signatures(once_each(lines, repeated), sketch, n_lines))
+    seen = both.where("key IS NOT NULL").select("key", "own", "nth", "first", "near", "members")
+    met = written(candidates(both.where("key IS NULL"), seen), "line-pairs")
     judged = written(verified(met, lines), "judged-pairs")
     matched = judged.where("similar").select(F.col("b").alias("cls")).distinct()
-    again = written(
-        met.where("skipped").select(F.col("b").alias("cls")).distinct().join(matched, "cls", "left_anti"), "unsettled"
-    )
-    if again.isEmpty():
-        return matched
-    late = seen.where("near").join(again, F.col("own.cls") == F.col("cls"), "left_semi")
-    more = meetings(late.select("key", F.col("own").alias("late")), seen.select("key", F.col("own").alias("early"))).distinct()
-    found = verified(written(more, "more-pairs"), lines).where("similar").select(F.col("b").alias("cls"))
-    return matched.unionByName(found).distinct()
+    # Who met nobody but the earliest, and those of very large groups whom that one can't be similar to.
+    waiting = seen.where(F.col("near") | (F.col("members") > LARGE)).withColumn("cls", F.col("own.cls"))
+    low, width, last = 2, TURN, seen.agg(F.max("nth")).first()[0] or 0
+    while low <= last:
+        waiting = written(waiting.where(F.col("nth") > low).join(matched, "cls", "left_anti"), "unsettled")
+        if waiting.isEmpty():
+            break
+        turn = seen.where(F.col("nth").between(low, low + width - 1))
+        more = meetings(waiting.select("key", F.col("own").alias("late"), "members"), turn.select("key", F.col("own").alias("early")))
+        more = more.groupBy("a", "b").agg(F.max("members").alias("members")).withColumn("skipped", F.lit(False))
+        found = verified(written(more, "more-pairs"), lines).where("similar").select(F.col("b").alias("cls"))
+        matched = written(matched.unionByName(found).distinct(), "matched-lines")
+        low, width = low + width, width * GROWTH
+    return matched
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """row_key, gone: the numbers of the lines that go, for each document that loses any."""
+    """doc_id, row_key, gone: the numbers of the lines that go, for each document that loses any."""
     lines = line_rows(docs)
     places = written(lines.select("cls", "doc_id", "row_key", "line_no"), "line-places")
     repeated = (
@@ -282,10 +347,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         .where("members > 1")
     )
     repeated = written(repeated.select("cls", "place"), "repeated-lines")
-    matched = matched_classes(lines, repeated, rarity(docs)).withColumn("matched", F.lit(True))
+    matched = matched_classes(lines, repeated, rarity(docs), places.count()).withColumn("matched", F.lit(True))
     late = written(repeated.join(matched, "cls", "full"), "late-classes")
     gone = places.join(late, "cls").where("matched OR struct(doc_id, line_no) > place")
-    return written(gone.groupBy("row_key").agg(F.collect_set("line_no").alias("gone")), "lines-gone")
+    return written(gone.groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("gone")), "lines-gone")
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -298,7 +363,8 @@ def edited(docs: DataFrame) -> DataFrame:
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("gone", i)), "\n")
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines")
     same = keyed.where(~touched).select("doc", n_lines, F.lit(0).cast("long").alias("n_removed"))
-    moved = keyed.where(touched).join(gone, "row_key", "left")
+    same_row = (keyed["row_key"] == gone["row_key"]) & keyed["doc.doc_id"].eqNullSafe(gone["doc_id"])
+    moved = keyed.where(touched).join(gone, same_row, "left")
     return same.unionByName(
         moved.select(
             F.col("doc").withField("text", F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(kept)).alias("doc"),

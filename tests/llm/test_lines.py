@@ -68,6 +68,27 @@ def test_families_of_near_lines(spark, monkeypatch, rare):
     assert found(docs) == by_hand(rows)
 
 
+@pytest.mark.parametrize("crowd", [False, True])
+def test_large_groups_in_turns(spark, monkeypatch, crowd):
+    """Families larger than every bound on groups, some members far from the first; one line in very many documents."""
+    monkeypatch.setattr(line_dedup, "SMALL", 4)
+    monkeypatch.setattr(line_dedup, "LARGE", 8)
+    monkeypatch.setattr(line_dedup, "TURN", 2)
+    monkeypatch.setattr(line_dedup, "GROWTH", 2)
+    monkeypatch.setattr(line_dedup, "LANE", 3)
+    if crowd:
+        monkeypatch.setattr(line_dedup, "RARE_CODE", 4)
+        monkeypatch.setattr(line_dedup.math, "log2", lambda n: 0.0)
+    rows = []
+    for i in range(90):
+        own = [f"w{k}" for k in range(25)]
+        for k in range(i % 5 + i // 30):
+            own[(i * 11 + k * 5) % 25] = f"x{i % 7}y{k}"
+        rows.append((i, " ".join(own) + "\nthe same line in every document\n" + " ".join(own[i % 3 : 9 + i % 5])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(docs) == by_hand(rows)
+
+
 def test_hard_texts_and_extra_columns(spark):
     docs = spark.createDataFrame(HARD, DOCS)
     assert found(docs) == by_hand([(d, t) for d, t, *_ in HARD])
