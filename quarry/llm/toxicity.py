@@ -1,6 +1,6 @@
 """Toxicity scores from subword bags: averaged character n-gram embeddings under a linear softmax.
 
-Embeddings and softmax are trained jointly in numpy on a bounded sample of labelled rows. A word is the average of the
+Embeddings and softmax are trained jointly in numpy on a bounded sample of labelled rows, by one task. A word is the average of the
 vectors of its character n-grams and of itself, so a misspelling never seen shares most of its vectors with the word
 that was. Windows of a few words are averaged and scored, and a text is as toxic as its worst window: one insult counts
 the same in a short text and in a very long one. After training, each n-gram needs one number only, and an array of
@@ -10,6 +10,7 @@ fixed size goes to the tasks.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,8 +66,8 @@ class _Vocabulary:
 
     def __init__(self) -> None:
         self.ids: dict[str, int] = {}
-        self.flat: list[int] = []
-        self.ends: list[int] = [0]
+        self.flat = array("i")
+        self.ends = array("q", [0])
 
     def number(self, text_words: list[str]) -> np.ndarray:
         out = np.empty(len(text_words), np.int32)
@@ -74,19 +75,41 @@ class _Vocabulary:
             k = self.ids.get(w)
             if k is None:
                 k = self.ids[w] = len(self.ids)
-                self.flat += grams(w)
+                self.flat.extend(grams(w))
                 self.ends.append(len(self.flat))
             out[i] = k
         return out
 
 
+def backward(vectors: np.ndarray, softmax: np.ndarray, bias: np.ndarray, words_of: np.ndarray, row: np.ndarray, y: np.ndarray, weight: np.ndarray):
+    """The weighted mean loss of a batch of bags, and its gradients by softmax, bias and word vectors.
+
+    Bag r is the mean of the vectors of the words ``words_of[row == r]``; without words it is zero.
+    """
+    n = len(y)
+    per_bag = np.maximum(np.bincount(row, minlength=n), 1)[:, None]
+    bags = np.zeros((n, vectors.shape[1]))
+    np.add.at(bags, row, vectors[words_of])
+    bags /= per_bag
+    logits = bags @ softmax.T + bias
+    odds = np.exp(logits - logits.max(axis=1, keepdims=True))
+    odds /= odds.sum(axis=1, keepdims=True)
+    target = np.stack([1 - y, y], axis=1)
+    loss = -(weight[:, None] * target * np.log(np.maximum(odds, 1e-300))).sum() / n
+    wrong = (odds - target) * weight[:, None] / n
+    by_vector = np.zeros_like(vectors, dtype=np.float64)
+    np.add.at(by_vector, words_of, ((wrong @ softmax) / per_bag)[row])
+    return loss, wrong.T @ bags, wrong.sum(axis=0), by_vector
+
+
 def train(texts: list[str], toxic: list[int], epochs: int = 8, rate: float = 0.5, seed: int = 1) -> Model:
     """Fits embeddings and softmax together: the first epoch on whole texts, the others on each text's worst window."""
     if not texts or len(set(toxic)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), -20.0)
     vocabulary = _Vocabulary()
     docs = [vocabulary.number(words(t)) for t in texts]
-    flat, ends = np.array(vocabulary.flat, np.int32), np.array(vocabulary.ends, np.int64)
+    flat, ends = np.frombuffer(vocabulary.flat, np.int32), np.frombuffer(vocabulary.ends, np.int64)
+    vocabulary.ids.clear()
     sizes = np.diff(ends)
     y = np.array(toxic, np.float64)
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
@@ -106,38 +129,25 @@ def train(texts: list[str], toxic: list[int], epochs: int = 8, rate: float = 0.5
             vectors = np.add.reduceat(embedding[own], first, axis=0) / sizes[used][:, None]
             lean = vectors @ (softmax[1] - softmax[0])
             chosen, share, at_word = [], [], 0
-            bags = np.zeros((len(batch), DIM))
             for row, i in enumerate(batch):
                 mine = inverse[at_word : at_word + len(docs[i])]
                 at_word += len(docs[i])
-                if not len(mine):
-                    continue
-                if epoch:
+                if epoch and len(mine):
                     start = window_starts(len(mine))[int(np.argmax(window_means(lean[mine])))]
                     mine = mine[start : start + WINDOW]
-                bags[row] = vectors[mine].mean(axis=0)
                 chosen.append(mine)
                 share.append(np.full(len(mine), row))
-            logits = bags @ softmax.T + bias
-            odds = np.exp(logits - logits.max(axis=1, keepdims=True))
-            odds /= odds.sum(axis=1, keepdims=True)
-            wrong = odds - np.stack([1 - y[batch], y[batch]], axis=1)
-            wrong *= weight[batch][:, None]
-            to_bags = wrong @ softmax
-            for value, grad, square in (
-                (softmax, wrong.T @ bags / len(batch), softmax_squares),
-                (bias, wrong.mean(axis=0), bias_squares),
-            ):
+            _, by_softmax, by_bias, by_vector = backward(
+                vectors, softmax, bias, np.concatenate(chosen), np.concatenate(share), y[batch], weight[batch]
+            )
+            for value, grad, square in ((softmax, by_softmax, softmax_squares), (bias, by_bias, bias_squares)):
                 square += grad**2
                 value -= rate * grad / np.sqrt(square)
-            if not chosen:
+            # A word's gradient goes to its n-grams in equal parts; these are of the batch's sum, not its mean.
+            touched = np.flatnonzero(np.abs(by_vector).sum(axis=1))
+            spread = np.repeat(by_vector[touched] * len(batch) / sizes[used][touched][:, None], sizes[used][touched], axis=0)
+            if not len(touched):
                 continue
-            row = np.concatenate(share)
-            per_doc = np.bincount(row, minlength=len(batch))
-            per_word = np.zeros((len(used), DIM))
-            np.add.at(per_word, np.concatenate(chosen), to_bags[row] / per_doc[row][:, None])
-            touched = np.flatnonzero(np.abs(per_word).sum(axis=1))
-            spread = np.repeat(per_word[touched] / sizes[used][touched][:, None], sizes[used][touched], axis=0)
             buckets = np.concatenate([flat[ends[w] : ends[w + 1]] for w in used[touched]])
             which, place = np.unique(buckets, return_inverse=True)
             grad = np.zeros((len(which), DIM))
@@ -177,11 +187,13 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5_000, max_chars: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3_000, max_chars: int = 8_000) -> Model:
     """Trains on labelled rows outside the held-out fold.
 
     At most ``max_rows`` rows of each class, those whose doc_ids hash lowest, and only texts of at most ``max_chars``
-    characters: the bound on what the driver gathers. Rows with a null doc_id, text or label teach nothing.
+    characters: the bound on what the one training task gathers. The driver gets the finished model, BUCKETS numbers.
+    Rows with a null doc_id, text or label teach nothing; of texts that share a doc_id the least teaches. Without rows
+    of both classes the model scores every text near 0.
     """
     usable = (
         labels.select("doc_id", "toxic")
@@ -197,11 +209,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5_000, max_chars: in
         docs.select("doc_id", "text")
         .where(F.length("text") <= max_chars)
         .join(ids, "doc_id")
-        .orderBy(order, "doc_id", "text")
-        .limit(2 * max_rows)
-        .collect()
+        .groupBy("doc_id", "toxic")
+        .agg(F.min("text").alias("text"))
+        .repartition(1)
+        .sortWithinPartitions(order, "doc_id")
+        .select("text", "toxic")
     )
-    return train([r.text for r in rows], [r.toxic for r in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[str] = []
+        toxic: list[int] = []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            toxic += batch.column(1).to_pylist()
+        made = train(texts, toxic)
+        yield pa.RecordBatch.from_arrays([pa.array([made.weights.tobytes()]), pa.array([made.bias])], names=["weights", "bias"])
+
+    made = rows.mapInArrow(run, "weights binary, bias double").first()
+    return Model(np.frombuffer(made.weights, np.float32), made.bias) if made else train([], [])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -228,7 +253,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents, all columns as they were, without those that score at the threshold or over."""
+    """The documents, all columns as they were, without those that score at the threshold or over.
+
+    Null text counts as empty; repeated rows stay or go alike; empty table: no rows. Extra columns are carried along.
+    """
     model = fit(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")

@@ -260,15 +260,35 @@ def test_units_encode_as_whole_texts_do(small, tokenizer):
 
 
 def test_toxicity_on_the_held_out_fold(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    """Held-out figures of class 1: a model that never predicts it has recall 0, one that always does precision 0.11."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     truth = {r.doc_id: r.toxic for r in labels.collect()}
     rows = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
     assert len(rows) == docs.count()
     held = [r for r in rows if r.held_out and r.doc_id in truth]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
-    right = sum(r.predicted == truth[r.doc_id] for r in held)
-    assert right >= 0.85 * len(held)
+    caught = sum(r.predicted and truth[r.doc_id] for r in held)
+    assert caught >= 0.75 * sum(truth[r.doc_id] for r in held)
+    assert caught >= 0.85 * sum(r.predicted for r in held)
+
+
+def test_gradients_against_finite_differences():
+    pick = np.random.default_rng(5)
+    vectors, softmax, bias = pick.normal(size=(6, 3)), pick.normal(size=(2, 3)), pick.normal(size=2)
+    words_of, row = np.array([0, 1, 1, 5, 2, 3, 3]), np.array([0, 0, 0, 0, 1, 3, 3])
+    y, weight = np.array([1.0, 0.0, 0.0, 1.0]), np.array([2.0, 0.5, 1.0, 1.0])
+    values = [softmax, bias, vectors]
+    _, by_softmax, by_bias, by_vector = toxicity.backward(vectors, softmax, bias, words_of, row, y, weight)
+    for value, gradient in zip(values, (by_softmax, by_bias, by_vector)):
+        for at in np.ndindex(value.shape):
+            held, step = value[at], 1e-6
+            value[at] = held + step
+            above = toxicity.backward(vectors, softmax, bias, words_of, row, y, weight)[0]
+            value[at] = held - step
+            below = toxicity.backward(vectors, softmax, bias, words_of, row, y, weight)[0]
+            value[at] = held
+            assert abs((above - below) / (2 * step) - gradient[at]) < 1e-6
 
 
 def test_toxicity_on_hard_texts(spark, hard):

@@ -53,19 +53,21 @@ def test_similar_lines_go(stages):
 
 
 def test_one_of_each_group_stays(stages):
+    """Against all pairs by the Jaccard similarity of their five-word shingles, and the components of these links."""
     before, after = stages["simhash_near_dedup"]
-    fps = {r.doc_id: simhash.fingerprint(simhash.shingle_hashes(r.text, 5)) for r in before}
-    root = {d: d for d in fps}
+    sets = {r.doc_id: frozenset(simhash.shingle_hashes(r.text, 5).tolist()) for r in before}
+    root = {d: d for d in sets}
 
     def find(d):
         while root[d] != d:
             d = root[d]
         return d
 
-    ids = sorted(fps)
+    ids = sorted(sets)
     for i, a in enumerate(ids):
         for b in ids[:i]:
-            if (fps[a] ^ fps[b]).bit_count() <= 4:
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
                 low, high = sorted((find(a), find(b)))
                 root[high] = low
     assert sorted(r.doc_id for r in after.collect()) == sorted({find(d) for d in ids})
@@ -94,5 +96,18 @@ def test_one_of_wholly_repeated_rows_stays(spark):
     assert sum(r.doc_id == 3 for r in kept.collect()) == 1
 
 
+def test_hard_tables_go_through_every_stage(spark, sf):
+    """Nulls, empty and repeated rows, no rows at all, and columns named like the operators' own."""
+    hard = [(1, "Alpha beta gamma"), (1, "Alpha beta gamma"), (2, None), (None, "no id"), (None, None), (3, ""), (4, "w " * 5000)]
+    docs = spark.createDataFrame(hard, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    for rows in (docs, docs.limit(0), docs.selectExpr("*", "1 AS cls", "2 AS row_key", "3 AS gone", "4 AS fingerprint", "5 AS kept")):
+        out = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = written(stage(spark, out, sf), f"hard-{name}")
+            assert out.columns == rows.columns
+        packed = corpus_pipeline.STAGES[-1][1](spark, out, sf)
+        assert (packed.count() > 0) == (rows.count() > 0)
+
+
 def test_run_equals_its_stages(spark, sf, stages):
     assert corpus_pipeline.run(spark, sf).count() == stages["packing"][1].count()
