@@ -4,13 +4,13 @@ A line is the set of its lower-cased words. Words are ordered by rarity, read fr
 whole corpus; any common order is right, a better one only makes fewer candidates. Two lines with a Jaccard similarity
 of at least 4/5 share a word in their prefixes, and share two in prefixes one word longer: a rare word is a key by
 itself, a frequent one only together with a second, so that no key gathers much by chance. Candidates pass the length
-filter, the positional filter and a parity filter (64 bits that each word flips one of: the differing bits never exceed
-the differing words), then the sets are compared. Lines of equal text are one class, joined once, at its earliest place.
+filter, the positional filter and two parity filters (64 bits that each word flips one of, by other bits of its hash: the
+differing bits never exceed the differing words), then the sets are compared. Lines of equal text are one class, joined once, at its earliest place.
 
 In a small group every line meets every earlier one. In a larger group it first meets the earliest, so that a large
 family of near copies makes as many candidates as it has members; a line that can't be similar to that one, or turns out
 not to be, meets the others too. In very large groups it does so in turns, the next few earlier members first and eight
-times as many each turn, and leaves as soon as one is similar. Two words that are both so frequent that very many lines
+times as many each turn, and leaves as soon as one is similar; before that it tries the first few of its largest group. Two words that are both so frequent that very many lines
 must have them by chance are a key only together with a third. Of two lines the shorter has the rarest common word in a prefix of one ninth of its words: only such rows look for others.
 """
 
@@ -146,17 +146,17 @@ def ranked(lines: DataFrame, sketch: Column) -> DataFrame:
 
 
 def signatures(lines: DataFrame, sketch: Column, n_lines: int) -> DataFrame:
-    """key, cls, n, i (the place of the key's first word in the line's order), parity, doc_id and line_no."""
+    """key, cls, n, i (the place of the key's first word in the line's order), parity, second (parity), doc_id and line_no."""
     prefix = F.expr(f"n - (n * {NUM} + {DEN - 1}) div {DEN} + 1").cast("int")
-    parity = F.aggregate(
-        "ranked",
-        F.lit(0).cast("long"),
-        lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))),
-    )
+    def parity(shift: int) -> Column:
+        bit = lambda x: F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(63)).cast("int")
+        flip = lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(x)))
+        return F.coalesce(F.aggregate("ranked", F.lit(0).cast("long"), flip), F.lit(0).cast("long"))
+
     # Never null, else the join asks one side for that, and the sides no longer share their exchange.
     zero = F.lit(0)
     rows = ranked(lines, sketch).select(
-        "*", F.coalesce(F.size("ranked"), zero).alias("n"), F.coalesce(parity, zero.cast("long")).alias("parity")
+        "*", F.coalesce(F.size("ranked"), zero).alias("n"), parity(0).alias("parity"), parity(6).alias("second")
     )
     rows = rows.withColumn("p", prefix)
     # Sets of fewer than 4 words have no partner but their equals: the whole set is their key.
@@ -177,8 +177,8 @@ def signatures(lines: DataFrame, sketch: Column, n_lines: int) -> DataFrame:
 
     seconds = F.slice("ranked", F.col("pos") + 2, F.col("p") - F.col("pos"))
     keys = F.when(whole | (code <= RARE_CODE), F.array("own")).otherwise(F.flatten(F.transform(seconds, pair_keys)))
-    rows = rows.select("cls", "doc_id", "line_no", "n", "parity", "pos", F.explode(keys).alias("key"))
-    return rows.select(F.coalesce("key", zero.cast("long")).alias("key"), "cls", "n", (F.col("pos") + 1).alias("i"), "parity", "doc_id", "line_no")
+    rows = rows.select("cls", "doc_id", "line_no", "n", "parity", "second", "pos", F.explode(keys).alias("key"))
+    return rows.select(F.coalesce("key", zero.cast("long")).alias("key"), "cls", "n", (F.col("pos") + 1).alias("i"), "parity", "second", "doc_id", "line_no")
 
 
 def can_match(a: str, b: str) -> Column:
@@ -187,8 +187,9 @@ def can_match(a: str, b: str) -> Column:
     i, j = F.col(f"{a}.i"), F.col(f"{b}.i")
     need = F.ceil((n + m) * NUM / (NUM + DEN))  # the least overlap
     most = F.least(i, j) + F.least(n - i, m - j)  # what can be shared up to the key's word, and after it
-    bits = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
-    return (DEN * n >= NUM * m) & (DEN * m >= NUM * n) & (most >= need) & (bits <= n + m - 2 * need)
+    bits = lambda name: F.bit_count(F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}")))
+    differ = n + m - 2 * need
+    return (DEN * n >= NUM * m) & (DEN * m >= NUM * n) & (most >= need) & (bits("parity") <= differ) & (bits("second") <= differ)
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -208,9 +209,9 @@ def keyed_groups(sigs: DataFrame) -> DataFrame:
         "*",
         F.row_number().over(group).alias("nth"),
         F.count("*").over(whole).alias("members"),
-        F.first(F.struct("n", "i", "parity")).over(whole).alias("centre"),
+        F.first(F.struct("n", "i", "parity", "second")).over(whole).alias("centre"),
     )
-    row = F.struct("cls", "n", "i", "parity", "doc_id", "line_no")
+    row = F.struct("cls", "n", "i", "parity", "second", "doc_id", "line_no")
     counted = counted.select("key", row.alias("own"), "centre", "nth", "members").where("members > 1")
     near = (F.col("members") > SMALL) & (F.col("nth") > 1) & can_match("centre", "own")
     counted = counted.select("key", "own", "nth", "members", near.alias("near"))
@@ -324,16 +325,21 @@ def matched_classes(lines: DataFrame, repeated: DataFrame, sketch: Column, n_lin
     # Who met nobody but the earliest, and those of very large groups whom that one can't be similar to.
     waiting = seen.where(F.col("near") | (F.col("members") > LARGE)).withColumn("cls", F.col("own.cls"))
     low, width, last = 2, TURN, seen.agg(F.max("nth")).first()[0] or 0
+    largest = True
     while low <= last:
         waiting = written(waiting.where(F.col("nth") > low).join(matched, "cls", "left_anti"), "unsettled")
         if waiting.isEmpty():
             break
-        turn = seen.where(F.col("nth").between(low, low + width - 1))
-        more = meetings(waiting.select("key", F.col("own").alias("late"), "members"), turn.select("key", F.col("own").alias("early")))
-        more = more.groupBy("a", "b").agg(F.max("members").alias("members")).withColumn("skipped", F.lit(False))
+        late = waiting.select("cls", "key", F.col("own").alias("late"), "members", "nth")
+        if largest:  # a family's lines share many keys: one is enough to try a few of it
+            late = late.groupBy("cls").agg(F.max_by(F.struct("key", "late", "members"), F.struct("members", "key")).alias("row")).select("row.*")
+        turn = seen.where(F.col("nth").between(low, low + width - 1)).select("key", F.col("own").alias("early"))
+        more = meetings(late, turn).groupBy("a", "b").agg(F.max("members").alias("members")).withColumn("skipped", F.lit(False))
         found = verified(written(more, "more-pairs"), lines).where("similar").select(F.col("b").alias("cls"))
         matched = written(matched.unionByName(found).distinct(), "matched-lines")
-        low, width = low + width, width * GROWTH
+        if not largest:
+            low, width = low + width, width * GROWTH
+        largest = False
     return matched
 
 
