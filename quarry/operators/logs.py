@@ -75,5 +75,42 @@ def upsert(table: DataFrame, changes: DataFrame, key: str, keep: str, order: lis
     return both.groupBy(key).agg(first, latest).select(key, keep, "row.*")
 
 
+def placed(df: DataFrame, order: list[Column], place: str) -> DataFrame:
+    """The rows with their place, from 1, in one order over the whole table.
+
+    Rows are dealt by ranges of the order's keys and numbered within each range; a range's first place is the count of
+    the rows before it: one number a range goes to the driver, never all rows to one task.
+    """
+    keys = {f"_k{i}": c for i, c in enumerate(order)}
+    in_order = [F.col(k).asc_nulls_last() for k in keys]
+    plain = df.select("*", *[_value(c).alias(k) for k, c in keys.items()])
+    dealt = plain.repartitionByRange(*in_order).withColumn("_range", F.spark_partition_id())
+    within = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("_range").orderBy(*in_order)))
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("n")).withColumn(
+        "_before", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    )
+    both = within.join(F.broadcast(counts.select("_range", "_before")), "_range")
+    return both.select(*df.columns, (F.col("_before") + F.col("_nth")).cast("long").alias(place))
+
+
+def _value(column: Column | str) -> Column:
+    return F.col(column) if isinstance(column, str) else column
+
+
+def with_previous(df: DataFrame, key: str, order: str, value: str, block: int = 1 << 14) -> DataFrame:
+    """key, order, value and ``previous``: the value of the row before in the key's order.
+
+    A key may hold very many rows, so its order is cut into blocks of ``block`` numbers; a block's first row looks up
+    the last value of the nearest block before it, which are few.
+    """
+    rows = df.select(key, order, value, F.floor(F.col(order) / block).alias("_block"))
+    in_block = Window.partitionBy(key, "_block").orderBy(order)
+    edges = rows.groupBy(key, "_block").agg(F.max_by(value, order).alias("_last"))
+    edges = edges.select(key, "_block", F.lag("_last").over(Window.partitionBy(key).orderBy("_block")).alias("_edge"))
+    near = rows.withColumn("_lag", F.lag(value).over(in_block)).withColumn("_first", F.row_number().over(in_block) == 1)
+    found = near.join(edges, [key, "_block"])
+    return found.select(key, order, value, F.when(F.col("_first"), F.col("_edge")).otherwise(F.col("_lag")).alias("previous"))
+
+
 def without(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return table.join(ids.select(key), key, "left_anti")

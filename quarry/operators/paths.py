@@ -12,6 +12,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import composed
+
+
+def nfc(path: Column) -> Column:
+    """In normal form C, as paths typed and paths read from a file system must be to be equal. ASCII stays in the JVM."""
+    return F.when(path.rlike(r"^[\x00-\x7F]*$"), path).otherwise(composed(path))
+
 
 def normalised(path: Column) -> Column:
     """Forward slashes, none doubled and none at the end but for the root."""

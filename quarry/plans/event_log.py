@@ -255,7 +255,7 @@ def pending_last_wins(spark, sf_dir):
 
 
 @query("a7_status_cascade", """SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'published' WHEN bool_and(event_type = 'error') THEN 'failed'
-    WHEN bool_and(event_type IN ('view', 'click')) THEN 'not_indexed' ELSE 'skipped' END AS status FROM events WHERE event_id % 9 = 0 GROUP BY 1""")
+    WHEN bool_and(event_type IN ('view', 'click')) THEN 'not_indexed' ELSE 'skipped' END AS status FROM events GROUP BY 1""")
 def status_cascade(spark, sf_dir):
     kind = F.col("event_type")
     status = (
@@ -264,7 +264,7 @@ def status_cascade(spark, sf_dir):
         .when(F.bool_and(kind.isin("view", "click")), "not_indexed")
         .otherwise("skipped")
     )
-    return events(spark, sf_dir).where("event_id % 9 = 0").groupBy("user_id").agg(status.alias("status"))
+    return events(spark, sf_dir).groupBy("user_id").agg(status.alias("status"))
 
 
 @query("a8_class_counts", """SELECT user_id, count(*) FILTER (event_type IN ('purchase', 'signup')) AS good, count(*) FILTER (event_type = 'error') AS bad,
@@ -278,11 +278,10 @@ def class_counts(spark, sf_dir):
 
 
 @query("a9_completion_class", """SELECT user_id, CASE WHEN bad > 0 AND good = 0 THEN 'error' WHEN bad > 0 THEN 'warning' ELSE 'ok' END AS class FROM (
-    SELECT user_id, count(*) FILTER (event_type = 'error') AS bad, count(*) FILTER (event_type IN ('purchase', 'signup')) AS good FROM events
-    WHERE event_id % 17 = 0 GROUP BY 1)""")
+    SELECT user_id, count(*) FILTER (event_type = 'error') AS bad, count(*) FILTER (event_type IN ('purchase', 'signup')) AS good FROM events GROUP BY 1)""")
 def completion_class(spark, sf_dir):
     kind = F.col("event_type")
-    sums = events(spark, sf_dir).where("event_id % 17 = 0").groupBy("user_id").agg(
+    sums = events(spark, sf_dir).groupBy("user_id").agg(
         F.count_if(kind == "error").alias("bad"), F.count_if(kind.isin("purchase", "signup")).alias("good")
     )
     result = F.when((F.col("bad") > 0) & (F.col("good") == 0), "error").when(F.col("bad") > 0, "warning").otherwise("ok")
@@ -308,9 +307,8 @@ def largest_gap(spark, sf_dir):
     SELECT source, md5(text) = lag(md5(text)) OVER (PARTITION BY source ORDER BY doc_id) AS same FROM documents) WHERE same IS NOT NULL GROUP BY 1""")
 def adjacent_duplicates(spark, sf_dir):
     """How many rows repeat the one before, and whether they are over a twentieth."""
-    digest = F.md5(F.col("text"))
-    same = digest == F.lag(digest).over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = table(spark, sf_dir, "documents").select("source", same.alias("same")).where("same IS NOT NULL")
+    rows = logs.with_previous(table(spark, sf_dir, "documents").select("source", "doc_id", F.md5("text").alias("digest")), "source", "doc_id", "digest")
+    rows = rows.select("source", (F.col("digest") == F.col("previous")).alias("same")).where("same IS NOT NULL")
     return rows.groupBy("source").agg(
         F.count_if("same").alias("same"), F.count("*").alias("pairs"), (F.count_if("same") * 20 > F.count("*")).alias("over")
     )
@@ -363,20 +361,19 @@ def duration_clamped(spark, sf_dir):
 
 @query("o1_job_list_order", """SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END,
     CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END, CASE WHEN o_orderstatus = 'O' THEN o_orderdate END,
-    CASE WHEN o_orderstatus = 'F' THEN -epoch_us(o_orderdate) END, o_orderkey) AS place FROM orders WHERE o_custkey < 300""")
+    CASE WHEN o_orderstatus = 'F' THEN -epoch_us(o_orderdate) END, o_orderkey) AS place FROM orders""")
 def job_list_order(spark, sf_dir):
     """Running first, then waiting by priority and age, then ended by time, newest first."""
     status = F.col("o_orderstatus")
     waiting, ended = status == "O", status == "F"
     keys = [
         F.when(status == "P", 0).when(waiting, 1).otherwise(2),
-        F.when(waiting, F.col("o_orderpriority")).asc_nulls_last(),
-        F.when(waiting, F.col("o_orderdate")).asc_nulls_last(),
-        F.when(ended, -F.unix_micros(F.col("o_orderdate").cast("timestamp"))).asc_nulls_last(),
+        F.when(waiting, F.col("o_orderpriority")),
+        F.when(waiting, F.col("o_orderdate")),
+        F.when(ended, -F.unix_micros(F.col("o_orderdate").cast("timestamp"))),
         F.col("o_orderkey"),
     ]
-    rows = table(spark, sf_dir, "orders").where("o_custkey < 300")
-    return rows.select("o_orderkey", F.row_number().over(Window.orderBy(*keys)).cast("long").alias("place"))
+    return logs.placed(table(spark, sf_dir, "orders").select("*"), keys, "place").select("o_orderkey", "place")
 
 
 @query("o2_attempt_order", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate) AS attempt FROM lineitem")
@@ -412,9 +409,9 @@ def admission_gate(spark, sf_dir):
     return waiting.withColumn("nth", nth).where("nth <= 3 - active").select("o_custkey", "o_orderkey")
 
 
-@query("o7_newest_first", "SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 40")
+@query("o7_newest_first", "SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id")
 def newest_first(spark, sf_dir):
-    return table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(40).select("doc_id")
+    return table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").select("doc_id")
 
 
 @query("f6_visible_jobs", """SELECT event_id FROM events WHERE NOT (event_type = 'error' AND CAST(props->>'$.k' AS BIGINT) % 2 = 0) OR event_id % 10 = 0""")

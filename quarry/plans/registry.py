@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import catalogue, event_log, outcomes, titles
+from quarry.plans import catalogue, event_log, matching, outcomes, titles
 
-_MODULES = (outcomes, event_log, catalogue, titles)
+_MODULES = (outcomes, event_log, catalogue, titles, matching)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

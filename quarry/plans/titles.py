@@ -35,7 +35,7 @@ def releases(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", "p_name", raw.alias("raw"))
 
 
-@query("x1_search_query", """SELECT p_partkey, p_name AS title, CASE WHEN p_partkey % 3 <> 2 THEN (p_partkey % 9 + 1)::INT END AS season,
+@query("x1_search_query", """SELECT p_partkey, lower(p_name) AS title, CASE WHEN p_partkey % 3 <> 2 THEN (p_partkey % 9 + 1)::INT END AS season,
     CASE WHEN p_partkey % 3 <> 2 THEN (p_partkey % 20 + 1)::INT END AS episode, string_split(lower(p_name), ' ') AS tokens FROM part""")
 def search_query(spark, sf_dir):
     """X1 and X2."""
@@ -52,19 +52,23 @@ def rank_score(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", score.alias("score"))
 
 
-@query("x4_clean_title", """SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 <> 2 THEN printf(' S%02dE%02d', p_partkey % 9 + 1, p_partkey % 20 + 1) ELSE '' END AS title FROM part""")
+@query("x4_clean_title", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || printf(' S%02dE%02d', p_partkey % 9 + 1, p_partkey % 20 + 1) WHEN p_partkey % 3 = 1 THEN p_name || ' (1999)' ELSE p_name END AS title FROM part""")
 def clean_title(spark, sf_dir):
-    return releases(spark, sf_dir).select("p_partkey", T.clean_title(F.concat(F.lit("/tv/x/"), "raw", F.lit(".mkv"))).alias("title"))
+    """An episode with its year before the mark, a film with tags after its year, and a name with neither."""
+    key = F.col("p_partkey")
+    mark = T.episode_code((key % 9 + 1).cast("int"), (key % 20 + 1).cast("int"))
+    rest = F.when(key % 3 == 0, F.concat(F.lit(" (2001) - "), mark, F.lit(" - Pilot [x264]"))).when(key % 3 == 1, " (1999) [1080p]").otherwise("")
+    return table(spark, sf_dir, "part").select("p_partkey", T.clean_title(F.concat(F.lit("/tv/x/"), "p_name", rest, F.lit(".mkv"))).alias("title"))
 
 
 @query("x6_title_prefix", """SELECT p_partkey, regexp_extract(regexp_replace(lower(strip_accents(t)), '^(the|a|an) ', ''), '^([a-z0-9]+)', 1) AS prefix
     FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'The ' ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN 'É' ELSE '' END || p_name AS t FROM part)""")
 def title_prefix(spark, sf_dir):
-    """The first word without article and accents; the accents are a fixed table of letters."""
+    """The first word without year, tags, article and accents."""
     article = F.when(F.col("p_partkey") % 2 == 0, "The ").otherwise("")
     accent = F.when(F.col("p_partkey") % 5 == 0, "É").otherwise("")
-    low = F.translate(F.lower(F.concat(article, accent, "p_name")), "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return table(spark, sf_dir, "part").select("p_partkey", F.regexp_extract(F.regexp_replace(low, "^(the|a|an) ", ""), "^([a-z0-9]+)", 1).alias("prefix"))
+    title = F.concat(article, accent, F.col("p_name"), F.lit(" (1987) [tag]"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.title_prefix(title).alias("prefix"))
 
 
 @query("x8_season_only", "SELECT p_partkey, (p_partkey % 12)::INT AS season FROM part WHERE p_partkey % 2 = 0")
@@ -88,15 +92,16 @@ def slash_normalise(spark, sf_dir):
     return page_paths(spark, sf_dir).select("page_id", paths.normalised(windows).alias("path"))
 
 
-@query("x12_short_title", """SELECT p_partkey, CASE WHEN len(p_name) > 12 THEN p_name[1:3] || '...' || right(p_name, 6) ELSE rpad(p_name, 12, ' ') END AS title FROM part""")
+@query("x12_short_title", """SELECT p_partkey, rpad(CASE WHEN len(p_name) <= 12 THEN p_name WHEN p_partkey % 2 = 0 THEN trim(p_name[:len(p_name) - 6])[1:3] || '...' || right(p_name, 6) ELSE p_name[1:9] || '...' END,
+    12, ' ') AS title FROM part""")
 def short_title(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", T.shortened(F.col("p_name"), 12).alias("title"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.shortened(F.col("p_name"), 12, F.when(F.col("p_partkey") % 2 == 0, "episode").otherwise("movie")).alias("title"))
 
 
 @query("x13_versions", """SELECT p_partkey FROM part WHERE p_partkey % 7 <> 0 AND (p_partkey % 3, p_partkey % 15, 4) >= (1, 9, 0)""")
 def versions(spark, sf_dir):
     """Versions compare by their parts, not as text; what isn't one never passes."""
-    raw = F.when(F.col("p_partkey") % 7 == 0, "dev").otherwise(F.format_string("v%d.%d.4", F.col("p_partkey") % 3, F.col("p_partkey") % 15))
+    raw = F.when(F.col("p_partkey") % 7 == 0, "9.9").otherwise(F.format_string("v%d.%d.4.post7+local", F.col("p_partkey") % 3, F.col("p_partkey") % 15))
     least = F.struct(F.lit(1).alias("major"), F.lit(9).alias("minor"), F.lit(0).alias("patch"))
     return table(spark, sf_dir, "part").where(T.version(raw) >= least).select("p_partkey")
 
@@ -126,16 +131,6 @@ def utc(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.to_utc_timestamp(F.to_timestamp(text), "UTC").cast("timestamp_ntz").alias("utc"))
 
 
-@query("d7_year_merge", """SELECT p_brand, count(*) AS items, CAST(sum(p_partkey) AS BIGINT) AS keys FROM part GROUP BY 1""")
-def year_merge(spark, sf_dir):
-    """Compatible years merge; the buckets of a brand hold each of its parts once."""
-    year = F.when(F.col("p_partkey") % 3 != 0, 1990 + F.col("p_size") % 3)
-    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", year.alias("year"), F.col("p_partkey").alias("seq"))
-    merged = folds.merged_by_year(rows, ["p_brand"], "seq", "year", "p_partkey")
-    total = F.aggregate("items", F.lit(0).cast("long"), lambda s, x: s + x)
-    return merged.groupBy("p_brand").agg(F.sum(F.size("items")).alias("items"), F.sum(total).alias("keys"))
-
-
 @query("j6_common_suffix", f"""WITH {PATHS_SQL} SELECT page_id, CASE WHEN page_id % 2 = 0 THEN len(string_split(path, '/')) - 2 ELSE 0 END AS depth FROM p""")
 def common_suffix_depth(spark, sf_dir):
     """Shared trailing segments with a copy under another mount, or with another file."""
@@ -143,17 +138,6 @@ def common_suffix_depth(spark, sf_dir):
     return page_paths(spark, sf_dir).select("page_id", paths.common_suffix(F.col("path"), other).cast("long").alias("depth"))
 
 
-@query("p9_webhook_resolution", f"""WITH {PATHS_SQL}, c AS (SELECT page_id, path AS raw, unnest([path || '.bak', path]) AS candidate, unnest([1, 2]) AS i FROM p),
-    known AS (SELECT path FROM p WHERE page_id % 4 <> 0) SELECT page_id, arg_min(candidate, ((candidate NOT IN (SELECT path FROM known))::INT, i)) AS resolved FROM c GROUP BY 1""")
-def webhook_resolution(spark, sf_dir):
-    """The first candidate that exists, else the first one."""
-    rows = page_paths(spark, sf_dir)
-    known = rows.where("page_id % 4 <> 0").select(F.col("path").alias("candidate")).distinct().withColumn("there", F.lit(0))
-    tried = rows.select("page_id", F.posexplode(F.array(F.concat("path", F.lit(".bak")), F.col("path"))).alias("i", "candidate"))
-    rank = F.struct(F.coalesce("there", F.lit(1)), "i")
-    return tried.join(known, "candidate", "left").groupBy("page_id").agg(F.min_by("candidate", rank).alias("resolved"))
-
-
 @query("k8_journal_stamp", """SELECT o_custkey AS output, max(o_orderkey) AS stamp FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY 1""")
 def journal_stamp(spark, sf_dir):
     """One entry an output, stamped last; entries of outputs that went are cleared."""
@@ -181,13 +165,17 @@ def directory_expansion(spark, sf_dir):
     return wanted.join(below, "folder", "left").select("folder", F.coalesce("path", "folder").alias("path")).distinct()
 
 
-@query("s14_frame_index", """SELECT source, CAST(n AS INT) - 1 AS frame, (n - 1) AS time, md5(text) AS body FROM (
-    SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE doc_id < 400)""")
+@query("s14_frame_index", """SELECT source, block, CAST(n AS INT) - 1 AS frame, (n - 1) AS time, md5(text) AS body FROM (
+    SELECT source, CAST(doc_id // 64 AS BIGINT) AS block, text, row_number() OVER (PARTITION BY source, doc_id // 64 ORDER BY doc_id) AS n FROM documents)""")
 def frame_container(spark, sf_dir):
-    """Frames written to containers, their index read back and the frames cut out again."""
-    rows = table(spark, sf_dir, "documents").where("doc_id < 400").select("source", "doc_id", F.col("text").cast("binary").alias("body"))
-    indexed = frame_index.read_index(frame_index.written_files(rows, "source", "doc_id", "body", 10_000))
-    return frame_index.frames(indexed, ["source"]).select("source", "frame", "time", F.md5("body").alias("body"))
+    """Frames written to containers, their index read back and the frames cut out again.
+
+    A container holds the documents of one source and 64 numbers, so no source's frames all meet in one row.
+    """
+    place = F.struct("source", F.floor(F.col("doc_id") / 64).alias("block"))
+    rows = table(spark, sf_dir, "documents").select(place.alias("file"), "doc_id", F.col("text").cast("binary").alias("body"))
+    indexed = frame_index.read_index(frame_index.written_files(rows, "file", "doc_id", "body", 10_000))
+    return frame_index.frames(indexed, ["file"]).select("file.source", "file.block", "frame", "time", F.md5("body").alias("body"))
 
 
 @query("t4_pending_snapshot", """WITH g AS (SELECT *, ts - lag(ts) OVER w >= INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL AS fresh FROM events WHERE ts < TIMESTAMP '2024-01-15' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -212,12 +200,3 @@ def preview_search(spark, sf_dir):
     """Search hits without those below disabled roots."""
     rows = page_paths(spark, sf_dir).where(F.col("path").contains("th") & ~paths.under(F.col("path"), "/ththhe.example.com"))
     return rows.orderBy("page_id").limit(80).select("page_id")
-
-
-@query("qs4_scatter_gather", """WITH hits AS (SELECT 1 AS ord, c_custkey AS id, lower(c_mktsegment) AS title FROM customer WHERE c_custkey < 200 UNION ALL SELECT 2, s_suppkey, 'building' FROM supplier)
-    SELECT title, min(ord) AS first_server, count(*) AS n FROM hits GROUP BY 1""")
-def scatter_gather(spark, sf_dir):
-    """Hits of several sources in source order, merged by title key."""
-    a = table(spark, sf_dir, "customer").where("c_custkey < 200").select(F.lit(1).alias("ord"), F.col("c_custkey").alias("id"), T.plain_key(F.col("c_mktsegment")).alias("title"))
-    b = table(spark, sf_dir, "supplier").select(F.lit(2).alias("ord"), F.col("s_suppkey").alias("id"), F.lit("building").alias("title"))
-    return a.unionByName(b).groupBy("title").agg(F.min("ord").alias("first_server"), F.count("*").alias("n"))

@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.operators import logs
 
 
-def accepted(events: DataFrame, keys: list[str], at: str, ttl_seconds: int) -> DataFrame:
+def accepted(events: DataFrame, keys: list[str], at: str, ttl_seconds: int, lateness: str = "0 seconds") -> DataFrame:
     """Events of which each key takes one per time to live, counted from the last that was taken.
 
-    The state of a key is one time, dropped once its time to live has passed by the wall clock. Events of a key are
-    taken in time order within a micro-batch; a dropped event doesn't extend anything.
+    The state of a key is one time. It is dropped when the watermark, ``lateness`` behind the latest event, has passed
+    that time and its time to live: by then any event still to come is taken anyway, however slowly or late the stream
+    is read. Events of a key are taken in time order within a micro-batch; a dropped event doesn't extend anything.
     """
 
     def take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -26,16 +27,19 @@ def accepted(events: DataFrame, keys: list[str], at: str, ttl_seconds: int) -> D
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(at, kind="stable")
         keep = []
-        for t in rows[at].astype("int64") // 10**3 if rows[at].dtype != "datetime64[us]" else rows[at].astype("int64"):
+        for t in rows[at].astype("datetime64[us]").astype("int64"):
             ok = last is None or t - last >= ttl_seconds * 1_000_000
             keep.append(ok)
             last = t if ok else last
         state.update((last,))
-        state.setTimeoutDuration(ttl_seconds * 1000)
+        # No timer may lie behind the watermark.
+        state.setTimeoutTimestamp(max(last // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield rows[keep]
 
-    return events.groupBy(*keys).applyInPandasWithState(
-        take, events.schema, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return (
+        events.withWatermark(at, lateness)
+        .groupBy(*keys)
+        .applyInPandasWithState(take, events.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
@@ -48,19 +52,55 @@ def debounced(events: DataFrame, keys: list[str], at: str, item: str, delay: str
     )
 
 
-def upserting(path: str, key: str, keep: str, order: list[str]):
+def _folders(spark: SparkSession, path: str, below: int) -> dict[int, list[tuple[int, str]]]:
+    """For each bucket its (version, folder) under a version number, oldest first."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/bucket=*")
+    found: dict[int, list[tuple[int, str]]] = {}
+    for status in pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []:
+        folder = status.getPath().toString()
+        version, bucket = (int(part.split("=")[1]) for part in folder.rsplit("/", 2)[1:])
+        if version < below:
+            found.setdefault(bucket, []).append((version, folder))
+    return {bucket: sorted(versions) for bucket, versions in found.items()}
+
+
+def upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The table as ``upserting`` left it: the newest folder of every bucket."""
+    return spark.read.parquet(*[versions[-1][1] for versions in _folders(spark, path, 1 << 62).values()])
+
+
+def upserting(path: str, key: str, keep: str, order: list[str], buckets: int = 64):
     """A ``foreachBatch`` function that folds each micro-batch into a table of last versions.
 
-    Versions are folders by batch, written whole and read by the highest number, so that a batch that is run again
-    writes the same again.
+    The table is dealt into ``buckets`` by a hash of the key. A micro-batch reads and writes only the buckets it
+    touches, as folders ``version=<batch>/bucket=<n>``. A bucket keeps its last two versions, so a batch that is run
+    again starts from what it found the first time and writes the same again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = f"{path}/version={number - 1}"
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
-        there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-        table = spark.read.parquet(before) if there else batch.limit(0)
-        logs.upsert(table, batch, key, keep, order).write.mode("overwrite").parquet(f"{path}/version={number}")
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        dealt = batch.withColumn("bucket", bucket).persist()
+        touched = {r.bucket for r in dealt.select("bucket").distinct().collect()}  # buckets numbers at most
+        if touched:
+            before = _folders(spark, path, number)
+            held = [before[b][-1][1] for b in sorted(touched & set(before))]
+            table = spark.read.parquet(*held) if held else batch.limit(0)
+            rows = logs.upsert(table.select(*batch.columns), batch, key, keep, order)
+            target = f"{path}/version={number}"
+            rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+            files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            for b in touched & set(before):
+                for _, folder in before[b][:-1]:
+                    files.delete(hadoop(folder), True)
+        dealt.unpersist()
 
     return write
+
+
+def due(batches: DataFrame, now: str, at_once: DataFrame, keys: list[str]) -> DataFrame:
+    """The pending batches that fire: those whose time has come, and those of the keys that are asked for at once."""
+    asked = at_once.select(*keys).distinct().withColumn("asked", F.lit(True))
+    rows = batches.join(asked, keys, "left")
+    return rows.where(F.col("asked") | (F.col("fires") <= F.lit(now).cast("timestamp"))).drop("asked")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quarry.functions import text as T
-from quarry.operators import folds, logs, paths
+from quarry.operators import folds, logs, paths, scopes, search
 from quarry.plans import registry
 from quarry.sources import frame_index
 from quarry.sources.paged import PagedSource
@@ -82,11 +82,19 @@ def test_three_policies_over_one_log(spark):
 @pytest.mark.parametrize(
     "raw, title, season, episode",
     [
-        ("Some.Show.S02E05.1080p.WEB", "Some Show", 2, 5),
+        ("Some.Show.S02E05.1080p.WEB", "some show", 2, 5),
         ("some show 3x07", "some show", 3, 7),
-        ("The Thing (1982)", "The Thing (1982)", None, None),
-        ("Web Therapy", "Web Therapy", None, None),
-        ("A Film 2160p x265", "A Film", None, None),
+        ("other_show.s001e0010.HDTV.x264-GRP", "other show", 1, 10),
+        ("show s01e02 the return 720p", "show the return", 1, 2),
+        ("The Thing (1982)", "the thing (1982)", None, None),
+        ("Thing (1982) [1080p]", "thing (1982)", None, None),
+        ("Web Therapy", "web therapy", None, None),
+        ("A Film 2160p x265", "a film", None, None),
+        ("Spider-Man 5.1", "spider man 5 1", None, None),
+        ("tv2x07b", "tv2x07b", None, None),
+        ("Film extended yify", "film", None, None),
+        ("WALLE", "", None, None),
+        ("   ", "", None, None),
         ("", "", None, None),
         (None, "", None, None),
     ],
@@ -97,6 +105,114 @@ def test_search_strings(spark, raw, title, season, episode):
     assert q.tokens == title.lower().split()
 
 
+@pytest.mark.parametrize(
+    "path, title",
+    [
+        ("/tv/A Show (2001) - S01E02 - Pilot [x264].mkv", "A Show S01E02"),
+        ("/tv/Show.Name.S01E02.720p.mkv", "Show.Name S01E02"),
+        ("/films/A Film (1999) [1080p].mkv", "A Film (1999)"),
+        ("/films/Plain Name.mkv", "Plain Name"),
+        ("noextension", "noextension"),
+    ],
+)
+def test_clean_titles(spark, path, title):
+    assert spark.range(1).select(T.clean_title(F.lit(path)).alias("t")).first().t == title
+
+
+@pytest.mark.parametrize(
+    "text, parts",
+    [("2.0.0", (2, 0, 0)), ("v2.1.2", (2, 1, 2)), ("2.1.1.post14", (2, 1, 1)), ("2.3.1.dev5+g12ab", (2, 3, 1)), ("0.0.0+unknown", (0, 0, 0)),
+     ("1.2.3-rc.1", (1, 2, 3)), ("v1.2", None), ("2", None), ("dev", None), ("1.2.3.4", None), (None, None)],
+)
+def test_versions(spark, text, parts):
+    found = spark.createDataFrame([(text,)], "v string").select(T.version(F.col("v")).alias("v")).first().v
+    assert (found and tuple(found)) == parts
+
+
+def test_priorities_and_short_titles(spark):
+    rows = spark.createDataFrame([("HIGH", None), ("low", None), (" high ", None), ("1", None), (None, 3), (None, 7), ("x", None)], "label string, number int")
+    assert [r.p for r in rows.select(T.priority(F.col("label"), F.col("number")).alias("p")).collect()] == [1, 3, 2, 2, 3, 2, 2]
+    short = lambda t, w, kind: spark.range(1).select(T.shortened(F.lit(t), w, F.lit(kind)).alias("s")).first().s
+    assert short("A Long Show Name S01E02", 16, "episode") == "A Long ...S01E02"
+    assert short("A Long Show Name S01E02", 8, "episode") == "...S01E02"
+    assert short("A Film With A Long Name", 12, "movie") == "A Film Wi..."
+    assert short("Short", 8, "movie") == "Short   "
+
+
+def test_normal_forms(spark):
+    row = spark.range(1).select(
+        (T.composed(F.lit("/m/Cafe\u0301")) == F.lit("/m/Caf\u00e9")).alias("same"), T.title_prefix(F.lit("The \u00c9tude (1990) [x]")).alias("prefix"),
+        paths.under(paths.nfc(F.lit("/m/Cafe\u0301/x.mkv")), "/m/Caf\u00e9").alias("below"),
+    ).first()
+    assert row.same and row.prefix == "etude" and row.below
+
+
+def test_progress_line(spark):
+    line = "frame= 120 fps= 30 q=-1.0 size= 2048kB time=00:01:02.50 bitrate= 268.4kbits/s dup=1 drop=2 speed=2.5x elapsed=0:00:25"
+    p = spark.range(1).select(T.progress(F.lit(line)).alias("p"), T.percent(F.lit(62.5), F.lit(125.0)).alias("percent")).first()
+    assert (p.p.frame, p.p.fps, p.p.q, p.p.size_kb, p.p.seconds, p.p.bitrate, p.p.dup, p.p["drop"], p.p.speed) == (120, 30.0, -1.0, 2048, 62.5, 268.4, 1, 2, 2.5)
+    assert p.percent == 50.0
+    assert spark.range(1).select(T.progress(F.lit("nothing")).alias("p")).first().p.speed is None
+
+
+def test_quiet_windows(spark):
+    rows = spark.createDataFrame([(dt.datetime(2024, 1, 5, 23, 0),), (dt.datetime(2024, 1, 6, 5, 0),), (dt.datetime(2024, 1, 7, 5, 0),), (dt.datetime(2024, 1, 8, 12, 30),)], "at timestamp")
+    windows = [("22:30", "06:30", ("fri", "sat")), ("12:00", "13:00", ("odd",)), ("5:00", "5:00", ())]
+    assert [r.q for r in rows.select(T.in_any_window(F.col("at"), windows).alias("q")).collect()] == [True, True, False, True]
+
+
+@pytest.mark.parametrize(
+    "parts, wanted",
+    [
+        ([("aa", "/v/4k/D/D.mkv"), ("bb", "/v/hd/D/D.mkv")], "bb"),
+        ([("", "/v/hd/D/D.mkv"), ("bb", "/v/4k/D/D.mkv")], None),
+        ([("aa", "/x/D.mkv"), ("bb", "/y/D.mkv"), ("cc", "/z/E.mkv")], "aa"),
+        ([("a", "/x/E.mkv"), ("cc", "/y/F.mkv")], "cc"),
+        ([("", "/x/E.mkv")], None),
+    ],
+)
+def test_part_hashes(spark, parts, wanted):
+    rows = spark.createDataFrame([(1, i, d, p, "/mnt/hd/D/D.mkv") for i, (d, p) in enumerate(parts)], "item int, ord int, digest string, path string, target string")
+    assert scopes.part_hash(rows, "item", "ord", "digest", "path", "target").first().digest == wanted
+
+
+def test_mismatches(spark):
+    roots = [("a", "/media/tv"), ("b", "/films")]
+    maps = {"a": [("/media", "/local", ("/data/media",))], "b": [("/media", "/x", ("/other/media",))]}
+    rows = spark.createDataFrame([(p,) for p in ("/data/media/tv/x.mkv", "/other/Media/TV/x", "/away/media/tv/x", "/data/media/tv2/x", "/media/tv/x")], "p string")
+    found = rows.select(scopes.mismatch_class(F.col("p"), roots, maps).alias("c"), scopes.inferred_prefixes(F.col("p"), [r for _, r in roots]).alias("i")).collect()
+    assert [r.c for r in found] == ["covered", "elsewhere", "mismatch", "unknown", "unknown"]
+    assert (found[0].i.sender, found[0].i.server) == ("/data/media", "/media")
+
+
+def test_scatter_gather_merges_and_orders(spark):
+    schema = "server string, rank long, kind string, title string, year int, paths array<string>, child_count int"
+    one = lambda: spark.createDataFrame([("a", 1, "episode", "Ben 10 S01E01", None, ["/e"], None), ("a", 2, "show", "Ben 10", 2005, ["/p"], None), ("a", 3, "movie", "It", 1990, ["/i"], None)], schema)
+    two = lambda: spark.createDataFrame([("b", 1, "show", "ben-10", None, ["/q", "/p"], 12), ("b", 2, "movie", "It", 2017, ["/j"], None), ("b", 3, "movie", "None", None, [], None)], schema)
+
+    def down():
+        raise ConnectionError
+
+    rows = search.merged(search.gathered(spark, [("a", one), ("x", down), ("b", two)]))
+    plain_rows = [(r.kind, r.title, r.year, r.paths, r.child_count, r.servers) for r in search.answer(rows, "ben 10").collect()]
+    assert plain_rows == [("show", "Ben 10", 2005, ["/p", "/q"], 12, ["a", "b"]), ("movie", "It", 1990, ["/i"], None, ["a"]), ("movie", "It", 2017, ["/j"], None, ["b"])]
+    assert [r.kind for r in search.answer(rows, "ben 10 s01e01").collect()] == ["show", "movie", "movie", "episode"]
+    assert search.gathered(spark, [("x", down)]).count() == 0
+
+
+def test_places_over_the_whole_table(spark):
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"), "id").repartition(5)
+    found = {r.id: r.place for r in logs.placed(rows, [F.when(F.col("k") > 10, F.col("k")), F.col("id")], "place").collect()}
+    wanted = sorted(range(1000), key=lambda i: ((i * 7919) % 1000 <= 10, (i * 7919) % 1000 if (i * 7919) % 1000 > 10 else 0, i))
+    assert found == {i: n + 1 for n, i in enumerate(wanted)}
+
+
+def test_previous_over_block_edges(spark):
+    rows = spark.createDataFrame([("k", i, str(i * i)) for i in (1, 5, 9, 40, 41, 100)] + [("j", 7, "x")], "key string, at long, v string")
+    found = {(r.key, r["at"]): r.previous for r in logs.with_previous(rows, "key", "at", "v", block=10).collect()}
+    assert found == {("k", 1): None, ("k", 5): "1", ("k", 9): "25", ("k", 40): "81", ("k", 41): "1600", ("k", 100): "1681", ("j", 7): None}
+
+
 def test_rank_tiers(spark):
     def score(name, raw, halved=False):
         q = T.parsed_query(F.lit(raw))
@@ -108,20 +224,13 @@ def test_rank_tiers(spark):
 
 def test_small_functions(spark):
     row = spark.range(1).select(
-        T.clean_title(F.lit("/tv/Show.Name.S01E02.720p.mkv")).alias("title"),
-        T.priority(F.lit(" High ")).alias("priority"),
-        T.version(F.lit("v1.2")).alias("version"),
-        T.version(F.lit("dev")).alias("bad"),
         T.in_window(F.lit(60), F.lit(1320), F.lit(360)).alias("inside"),
         T.in_window(F.lit(60), F.lit(60), F.lit(60)).alias("off"),
         T.minutes(F.lit("25:00")).alias("no_time"),
         T.backoff(F.lit(9), F.lit(1)).alias("wait"),
-        T.shortened(F.lit("abcdefghijklmnopqrstuvwxyz"), 15).alias("short"),
         T.eta(F.lit(3700)).alias("eta"),
     ).first()
-    assert row.title == "Show Name S01E02" and row.priority == 1 and tuple(row.version) == (1, 2, 0) and row.bad is None
-    assert row.inside and not row.off and row.no_time is None and row.wait == 3600
-    assert row.short == "abcdef...uvwxyz" and row.eta == "1h 1m"
+    assert row.inside and not row.off and row.no_time is None and row.wait == 3600 and row.eta == "1h 1m"
 
 
 def test_paths(spark):
@@ -185,6 +294,21 @@ def test_streamed_ttl_equals_the_batch_fold(spark, tmp_path):
     assert sorted(r.n for r in spark.table("taken").collect()) == [0, 100, 230]
 
 
+def test_streamed_ttl_over_micro_batches(spark, tmp_path):
+    """A slow stream of one file a micro-batch takes the same events as the fold over all of them."""
+    day, times = dt.datetime(2024, 1, 1), [0, 50, 99, 100, 150, 199, 230, 1000, 1050, 1101]
+    for i, s in enumerate(times):
+        row = spark.createDataFrame([("k", day + dt.timedelta(seconds=s), s)], "key string, at timestamp, n int").coalesce(1)
+        row.write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(row.schema).option("maxFilesPerTrigger", 3).json(str(tmp_path / "in"))
+    taken = webhooks.accepted(stream, ["key"], "at", 100, "1 hour")
+    run = taken.writeStream.format("memory").queryName("slow").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination(180)
+    rows = spark.read.schema(row.schema).json(str(tmp_path / "in"))
+    fold = folds.ttl_accepted(rows, ["key"], F.col("n").cast("long"), 100).first().accepted
+    assert sorted(r.n for r in spark.table("slow").collect()) == fold == [0, 100, 230, 1000, 1101]
+
+
 def test_streamed_batches(spark, tmp_path):
     day = dt.datetime(2024, 1, 1)
     times = [(0, "b"), (40, "a"), (90, "b"), (300, "c"), (9000, "z")]
@@ -200,5 +324,8 @@ def test_streamed_upserts(spark, tmp_path):
     write = webhooks.upserting(str(tmp_path / "table"), "id", "created", ["seq"])
     run = _stream(spark, tmp_path / "in", rows).writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination(120)
-    found = {(r.id, r.created, r.status) for r in spark.read.parquet(str(tmp_path / "table/version=0")).collect()}
-    assert found == {(1, "t1", "done"), (2, "t1", "new")}
+    read = lambda: {(r.id, r.created, r.status) for r in webhooks.upserted(spark, str(tmp_path / "table")).collect()}
+    assert read() == {(1, "t1", "done"), (2, "t1", "new")}
+    for n in (1, 1, 2):  # a micro-batch that runs again changes nothing
+        write(spark.createDataFrame([(2, f"t{n}", f"s{n}", 10 + n)], rows.schema), n)
+    assert read() == {(1, "t1", "done"), (2, "t1", "s2")}
