@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that is unset (one machine, as in tests) is it set to a new local folder.
+    Only where that is unset on one machine, as in tests, is it set to a new local folder; a cluster has to name it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not found:
         found = Path(tempfile.mkdtemp(prefix="quarry-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", found)

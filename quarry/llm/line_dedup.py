@@ -249,10 +249,14 @@ def _index(row: str) -> Column:
 
 
 def meetings(late: DataFrame, early: DataFrame) -> DataFrame:
-    """a (earlier class), b, members: the rows (key, late, members) with the earlier of the rows (key, early)."""
+    """a (earlier class), b, members: the rows (key, late, members) with the earlier of the rows (key, early).
+
+    Only at keys that are in the shorter one's index prefix: the rarest word in common always is.
+    """
+    at_index = F.when(F.col("early.n") <= F.col("late.n"), F.col("early.i") <= _index("early")).otherwise(F.col("late.i") <= _index("late"))
     return (
         late.join(early, "key")
-        .where(_earlier("early", "late") & can_match("early", "late"))
+        .where(_earlier("early", "late") & at_index & can_match("early", "late"))
         .select(F.col("early.cls").alias("a"), F.col("late.cls").alias("b"), "members")
     )
 
@@ -332,7 +336,7 @@ def matched_classes(lines: DataFrame, repeated: DataFrame, sketch: Column, n_lin
             break
         late = waiting.select("cls", "key", F.col("own").alias("late"), "members", "nth")
         if largest:  # a family's lines share many keys: one is enough to try a few of it
-            late = late.groupBy("cls").agg(F.max_by(F.struct("key", "late", "members"), F.struct("members", "key")).alias("row")).select("row.*")
+            late = late.groupBy("cls").agg(F.max_by(F.struct("key", "late", "members"), F.struct(F.col("late.i") <= _index("late"), "members", "key")).alias("row")).select("row.*")
         turn = seen.where(F.col("nth").between(low, low + width - 1)).select("key", F.col("own").alias("early"))
         more = meetings(late, turn).groupBy("a", "b").agg(F.max("members").alias("members")).withColumn("skipped", F.lit(False))
         found = verified(written(more, "more-pairs"), lines).where("similar").select(F.col("b").alias("cls"))

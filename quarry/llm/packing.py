@@ -221,5 +221,6 @@ def pack(
     """
     counted = written(pieces(docs, tokenizer, capacity, end_id), "pieces")
     groups = max(1, math.ceil(counted.count() / group_rows))
-    keys = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("pack_group")
+    # The row's own number in the written table deals out rows that repeat each other.
+    keys = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).alias("pack_group")
     return counted.select("*", keys).groupBy("pack_group").applyInPandas(_pack_group(capacity), _PACKED)
