@@ -276,18 +276,18 @@ def reconcile_workers(spark, sf_dir):
     return gone.unionByName(new.select("k", F.lit(None).cast("long").alias("worker"), F.lit("add").alias("action")))
 
 
-@query("p8_sibling_rebind", f"""WITH {PATHS_SQL}, live AS (SELECT path FROM p WHERE page_id % 2 = 0 UNION SELECT regexp_replace(path, '^/[^/]+', '/ththon.example.com') FROM p WHERE page_id % 3 = 0), m(m) AS (VALUES ('/ththhe.example.com'), ('/ththhe.example.com/en'), ('/ththon.example.com')),
+@query("p8_sibling_rebind", f"""WITH {PATHS_SQL}, live AS (SELECT path FROM p WHERE page_id % 2 = 0 UNION SELECT regexp_replace(path, '^/[^/]+', '/thther.example.org') FROM p WHERE page_id % 3 = 0), m(m) AS (VALUES ('/blog.tionsh.example.net'), ('/blog.tionsh.example.net/en'), ('/thther.example.org')),
     own AS (SELECT page_id, path, arg_max(m, len(m)) AS own FROM p JOIN m ON path = m OR starts_with(path, m || '/') GROUP BY 1, 2),
     c AS (SELECT page_id, m || path[len(own) + 1:] AS candidate, len(m) AS n FROM own, m WHERE m <> own)
     SELECT page_id, arg_max(candidate, n * 1000 - ascii(candidate[6])) AS found FROM c WHERE candidate IN (SELECT path FROM live) GROUP BY 1""")
 def sibling_rebind(spark, sf_dir):
     """The path under another mount, of those, longest first, where it exists; its own mount is the longest it lies under."""
-    mounts = sorted(("/ththhe.example.com", "/ththhe.example.com/en", "/ththon.example.com"), key=lambda m: (-len(m), m))
+    mounts = sorted(("/blog.tionsh.example.net", "/blog.tionsh.example.net/en", "/thther.example.org"), key=lambda m: (-len(m), m))
     rows, path = page_paths(spark, sf_dir), F.col("path")
     own = F.coalesce(*[F.when(paths.under(path, m), F.lit(m)) for m in mounts])
     each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("m")) for i, m in enumerate(mounts)])
     tried = rows.select("page_id", "path", own.alias("own"), F.explode(each).alias("mount")).where("own IS NOT NULL AND mount.m <> own")
     tried = tried.select("page_id", "mount.i", F.concat("mount.m", F.substring(path, F.length("own") + 1, F.length(path))).alias("candidate"))
-    moved = F.regexp_replace("path", "^/[^/]+", "/ththon.example.com")
+    moved = F.regexp_replace("path", "^/[^/]+", "/thther.example.org")
     live = rows.where("page_id % 2 = 0").select(path.alias("candidate")).union(rows.where("page_id % 3 = 0").select(moved)).distinct()
     return tried.join(live, "candidate", "left_semi").groupBy("page_id").agg(F.min_by("candidate", "i").alias("found"))
