@@ -4,8 +4,8 @@ A line is the set of its lower-cased words. Words are ordered by rarity, read fr
 whole corpus; any common order is right, a better one only makes fewer candidates. Two lines with a Jaccard similarity
 of at least 4/5 share a word in their prefixes, and share two in prefixes one word longer: a rare word is a key by
 itself, a frequent one only together with a second, so that no key gathers much by chance. Candidates pass the length
-filter, the positional filter and two parity filters (64 bits that each word flips one of, by other bits of its hash: the
-differing bits never exceed the differing words), then the sets are compared. Lines of equal text are one class, joined once, at its earliest place.
+filter, the positional filter and a parity filter (256 bits that each word flips one of: the differing bits never exceed
+the differing words), then the sets are compared. Lines of equal text are one class, joined once, at its earliest place.
 
 In a small group every line meets every earlier one. In a larger group it first meets the earliest, so that a large
 family of near copies makes as many candidates as it has members; a line that can't be similar to that one, or turns out
@@ -26,14 +26,13 @@ from quarry.llm.common import written
 #: Jaccard 4/5 as whole numbers; bits of a membership sketch; buckets of the rarity sketch; members up to which all of a
 #: group meet; members up to which a group is joined with itself at once, and its frequency code: up to that a word is a
 #: key by itself (one row that is compared with up to so many others costs less than the rows of its pairs of words);
-#: words from which a set has a wide parity; pairs of one earlier class that are compared in one lane; earlier members
-#: that the first turn through a large group takes, and how many times as many each turn after it.
+#: pairs of one earlier class that are compared in one lane; earlier members that the first turn through a large group
+#: takes, and how many times as many each turn after it.
 NUM, DEN = 4, 5
 MEMBER_BITS = 1 << 25
 BUCKETS, BLOCK = 1 << 20, 1 << 10
 SMALL, LARGE = 128, 1024
 RARE_CODE = 42
-WIDE = 48
 LANE = 64
 TURN, GROWTH = 16, 8
 _WORD = "[^ \\t\\n\\x0B\\f\\r]"
@@ -145,19 +144,24 @@ def ranked(lines: DataFrame, sketch: Column) -> DataFrame:
     )
 
 
+#: The columns of a set's parity: 256 bits that each word flips one of.
+PARITY = ("p0", "p1", "p2", "p3")
+
+
+def parity(k: int) -> Column:
+    """The k-th 64 bits of the parity of ``ranked``; never null."""
+    names = F.filter("ranked", lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(3)) == k)
+    flip = lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
+    none = F.lit(0).cast("long")
+    return F.coalesce(F.aggregate(names, none, flip), none).alias(PARITY[k])
+
+
 def signatures(lines: DataFrame, sketch: Column, n_lines: int) -> DataFrame:
-    """key, cls, n, i (the place of the key's first word in the line's order), parity, second (parity), doc_id and line_no."""
+    """key, cls, n, i (the place of the key's first word in the line's order), p0 to p3 (parity), doc_id and line_no."""
     prefix = F.expr(f"n - (n * {NUM} + {DEN - 1}) div {DEN} + 1").cast("int")
-    def parity(shift: int) -> Column:
-        bit = lambda x: F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(63)).cast("int")
-        flip = lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(x)))
-        return F.coalesce(F.aggregate("ranked", F.lit(0).cast("long"), flip), F.lit(0).cast("long"))
-
     # Never null, else the join asks one side for that, and the sides no longer share their exchange.
     zero = F.lit(0)
-    rows = ranked(lines, sketch).select(
-        "*", F.coalesce(F.size("ranked"), zero).alias("n"), parity(0).alias("parity"), parity(6).alias("second")
-    )
+    rows = ranked(lines, sketch).select("*", F.coalesce(F.size("ranked"), zero).alias("n"), *map(parity, range(4)))
     rows = rows.withColumn("p", prefix)
     # Sets of fewer than 4 words have no partner but their equals: the whole set is their key.
     whole = F.col("n") < 4
@@ -177,8 +181,8 @@ def signatures(lines: DataFrame, sketch: Column, n_lines: int) -> DataFrame:
 
     seconds = F.slice("ranked", F.col("pos") + 2, F.col("p") - F.col("pos"))
     keys = F.when(whole | (code <= RARE_CODE), F.array("own")).otherwise(F.flatten(F.transform(seconds, pair_keys)))
-    rows = rows.select("cls", "doc_id", "line_no", "n", "parity", "second", "pos", F.explode(keys).alias("key"))
-    return rows.select(F.coalesce("key", zero.cast("long")).alias("key"), "cls", "n", (F.col("pos") + 1).alias("i"), "parity", "second", "doc_id", "line_no")
+    rows = rows.select("cls", "doc_id", "line_no", "n", *PARITY, "pos", F.explode(keys).alias("key"))
+    return rows.select(F.coalesce("key", zero.cast("long")).alias("key"), "cls", "n", (F.col("pos") + 1).alias("i"), *PARITY, "doc_id", "line_no")
 
 
 def can_match(a: str, b: str) -> Column:
@@ -187,9 +191,8 @@ def can_match(a: str, b: str) -> Column:
     i, j = F.col(f"{a}.i"), F.col(f"{b}.i")
     need = F.ceil((n + m) * NUM / (NUM + DEN))  # the least overlap
     most = F.least(i, j) + F.least(n - i, m - j)  # what can be shared up to the key's word, and after it
-    bits = lambda name: F.bit_count(F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}")))
-    differ = n + m - 2 * need
-    return (DEN * n >= NUM * m) & (DEN * m >= NUM * n) & (most >= need) & (bits("parity") <= differ) & (bits("second") <= differ)
+    bits = sum((F.bit_count(F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}"))) for name in PARITY), F.lit(0))
+    return (DEN * n >= NUM * m) & (DEN * m >= NUM * n) & (most >= need) & (bits <= n + m - 2 * need)
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -209,9 +212,9 @@ def keyed_groups(sigs: DataFrame) -> DataFrame:
         "*",
         F.row_number().over(group).alias("nth"),
         F.count("*").over(whole).alias("members"),
-        F.first(F.struct("n", "i", "parity", "second")).over(whole).alias("centre"),
+        F.first(F.struct("n", "i", *PARITY)).over(whole).alias("centre"),
     )
-    row = F.struct("cls", "n", "i", "parity", "second", "doc_id", "line_no")
+    row = F.struct("cls", "n", "i", *PARITY, "doc_id", "line_no")
     counted = counted.select("key", row.alias("own"), "centre", "nth", "members").where("members > 1")
     near = (F.col("members") > SMALL) & (F.col("nth") > 1) & can_match("centre", "own")
     counted = counted.select("key", "own", "nth", "members", near.alias("near"))
@@ -268,13 +271,6 @@ def candidates(met: DataFrame, seen: DataFrame) -> DataFrame:
     return full.unionByName(first).groupBy("a", "b").agg(F.max("members").alias("members"), F.max("skipped").alias("skipped"))
 
 
-def wide_parity(k: int) -> Column:
-    """Of 256 bits that each name flips one of, the k-th 64; null for sets under WIDE names, where the pairs' 64 do."""
-    names = F.filter("names", lambda x: F.shiftrightunsigned(x, 8).bitwiseAND(F.lit(3)) == k)
-    flip = lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
-    return F.when(F.size("names") >= WIDE, F.aggregate(names, F.lit(0).cast("long"), flip)).alias(f"p{k}")
-
-
 def joined(pairs: DataFrame, a_side: DataFrame, b_side: DataFrame) -> DataFrame:
     """The pairs with the columns of both classes: ``a_side`` by a, ``b_side`` by b.
 
@@ -284,20 +280,8 @@ def joined(pairs: DataFrame, a_side: DataFrame, b_side: DataFrame) -> DataFrame:
     return pairs.join(lanes, ["a", "lane"]).join(b_side, "b")
 
 
-def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs less those whose wide parities differ in more bits than similar sets can: long sets then move seldom."""
-    def marks(side: str) -> DataFrame:
-        return sets.select(F.col("cls").alias(side), F.struct("n", "p0", "p1", "p2", "p3").alias(f"{side}_marks"))
-
-    both = joined(pairs, marks("a"), marks("b"))
-    total = F.col("a_marks.n") + F.col("b_marks.n")
-    most = total - 2 * F.ceil(total * NUM / (NUM + DEN))
-    bits = sum((F.bit_count(F.col(f"a_marks.p{k}").bitwiseXOR(F.col(f"b_marks.p{k}"))) for k in range(4)), F.lit(0))
-    return both.where(F.coalesce(bits <= most, F.lit(True))).select(*pairs.columns)
-
-
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs that can be similar and whether they are. Only lines of these classes move, by a sketch of the classes."""
+    """The pairs and whether they are similar. Only lines of these classes move, by a sketch of the classes."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     texts = (
         lines.where(may_be_in(member_bits(named), F.col("cls")))
@@ -305,12 +289,11 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
         .agg(F.first("line").alias("line"))
         .join(named, "cls", "left_semi")
     )
-    names = texts.select("cls", F.array_distinct(named_words(F.col("line"))).alias("names"))
-    sets = written(names.select("*", F.size("names").alias("n"), *map(wide_parity, range(4))), "line-sets")
+    sets = written(texts.select("cls", F.array_distinct(named_words(F.col("line"))).alias("names")), "line-sets")
     lane = F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / LANE))
     dealt = pairs.select("a", "b", "skipped", lane.alias("lane"))
     both = joined(
-        likely(dealt, sets),
+        dealt,
         sets.select(F.col("cls").alias("a"), F.col("names").alias("left")),
         sets.select(F.col("cls").alias("b"), F.col("names").alias("right")),
     )
@@ -339,8 +322,10 @@ def matched_classes(lines: DataFrame, repeated: DataFrame, sketch: Column, n_lin
             late = late.groupBy("cls").agg(F.max_by(F.struct("key", "late", "members"), F.struct(F.col("late.i") <= _index("late"), "members", "key")).alias("row")).select("row.*")
         turn = seen.where(F.col("nth").between(low, low + width - 1)).select("key", F.col("own").alias("early"))
         more = meetings(late, turn).groupBy("a", "b").agg(F.max("members").alias("members")).withColumn("skipped", F.lit(False))
-        found = verified(written(more, "more-pairs"), lines).where("similar").select(F.col("b").alias("cls"))
-        matched = written(matched.unionByName(found).distinct(), "matched-lines")
+        more = written(more, "more-pairs")
+        if not more.isEmpty():
+            found = verified(more, lines).where("similar").select(F.col("b").alias("cls"))
+            matched = written(matched.unionByName(found).distinct(), "matched-lines")
         if not largest:
             low, width = low + width, width * GROWTH
         largest = False
