@@ -97,6 +97,19 @@ def store_map(
     return spark.read.schema(MAP_SCHEMA).parquet(place)
 
 
+def rebalance(spark: SparkSession, path: str, shards: int) -> DataFrame:
+    """Reads the latest version of the map below ``path``, edits it for ``shards`` shards and stores it as the next version.
+
+    The map has at most one row per slot, so it passes the driver whatever the corpus. Slots without rows aren't in it.
+    """
+    stored = spark.read.schema(MAP_SCHEMA).parquet(path)
+    version = stored.agg(F.max("version")).first()[0]
+    rows = stored.where(F.col("version") == version).orderBy("virtual_slot").collect()
+    totals = [(r.virtual_slot, r.slot_bytes, r.slot_rows) for r in rows]
+    dealt = {r.virtual_slot: r.shard for r in rows}
+    return store_map(spark, path, version + 1, totals, rebalanced(totals, dealt, shards))
+
+
 def shard(docs: DataFrame, shards: int = 24, slots: int = 8192, map_path: str | None = None) -> DataFrame:
     """Every document's shard and place: doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot.
 

@@ -118,6 +118,9 @@ def test_map_versions_are_kept(spark, small, tmp_path):
     two = sharding.store_map(spark, str(tmp_path / "map"), 2, totals, sharding.rebalanced(totals, first, 5))
     assert one.count() == two.count() and spark.read.parquet(str(tmp_path / "map")).count() == 2 * one.count()
     assert sharding.numbered(placed, two).count() == small.count()
+    three = {r.virtual_slot: r for r in sharding.rebalance(spark, str(tmp_path / "map"), 6).collect()}
+    assert {r.version for r in three.values()} == {3}
+    assert {slot: r.shard for slot, r in three.items()} == sharding.rebalanced(totals, sharding.rebalanced(totals, first, 5), 6)
 
 
 @pytest.fixture(scope="module")
