@@ -9,7 +9,19 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of whole texts that go to a Python task at once: Spark's own 10,000 would be held several times over.
+ROWS_AT_ONCE = 1_000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Makes Arrow batches small in this session, unless their size has been set."""
+    if spark.conf.get(_ROWS_SETTING, None) is None:
+        spark.conf.set(_ROWS_SETTING, str(ROWS_AT_ONCE))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
