@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, exact_dedup, line_dedup, packing, secret_scan, sharding, simhash, substring_dedup, toxicity, url_lists
+from quarry.llm import decontamination, exact_dedup, line_dedup, packing, ranked_search, secret_scan, sharding, simhash, substring_dedup, toxicity, url_lists
 from quarry.llm.common import table
 
 
@@ -78,6 +78,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_exact_dedup": op2_exact_dedup,
@@ -89,10 +93,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_url_lists": op9_url_lists,
     "op10_line_dedup": op10_line_dedup,
+    "op11_ranked_search": op11_ranked_search,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -149,4 +156,22 @@ ORACLES: dict[str, str] = {
           ON h.page_id IS NOT DISTINCT FROM f.page_id AND h.url IS NOT DISTINCT FROM f.url
          AND h.fetched_on IS NOT DISTINCT FROM f.fetched_on
     """,
+    "op11_ranked_search": rf"""
+        WITH docs AS (
+            SELECT doc_id, regexp_extract_all({_LOWER}, {_TERM}) AS terms FROM documents),
+        found AS (SELECT doc_id, terms, len(terms) AS n FROM docs WHERE len(terms) > 0),
+        total AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS length FROM found),
+        counted AS (
+            SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM found) GROUP BY ALL),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * any_value(documents) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+            FROM counted, total GROUP BY term),
+        asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, {_TERM})) AS term FROM benchmark),
+        scored AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * documents) // length)))) AS BIGINT) AS score
+            FROM asked JOIN weights USING (term) JOIN counted USING (term), total GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER w AS INT) AS rank, doc_id, score FROM scored WHERE score > 0
+        WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 50
+    """,
 }
