@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, exact_dedup, hard_negatives, line_dedup, packing, ranked_search, secret_scan, sharding, simhash, substring_dedup, toxicity, url_lists
+from quarry.llm import decontamination, edit_fingerprints, exact_dedup, hard_negatives, line_dedup, packing, ranked_search, secret_scan, sharding, simhash, substring_dedup, toxicity, url_lists
 from quarry.llm.common import table
 
 
@@ -89,6 +89,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors.select("vec_id", label.alias("label"), "embedding"))
 
 
+def op13_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_exact_dedup": op2_exact_dedup,
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_ranked_search": op11_ranked_search,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_edit_fingerprints": op13_edit_fingerprints,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
