@@ -112,7 +112,7 @@ def test_rebalancing_moves_slots_only_into_new_shards():
 
 def test_map_versions_are_kept(spark, small, tmp_path):
     placed = sharding.with_slots(small, 64)
-    totals = sharding.slot_totals(placed)
+    totals = sharding.slot_totals(placed, 64)
     first = sharding.balanced(totals, 4)
     one = sharding.store_map(spark, str(tmp_path / "map"), 1, totals, first)
     two = sharding.store_map(spark, str(tmp_path / "map"), 2, totals, sharding.rebalanced(totals, first, 5))
