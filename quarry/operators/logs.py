@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.tables import written
+
 
 def _packed(df: DataFrame) -> Column:
     return F.struct(*df.columns)
@@ -76,19 +78,19 @@ def upsert(table: DataFrame, changes: DataFrame, key: str, keep: str, order: lis
 
 
 def placed(df: DataFrame, order: list[Column], place: str) -> DataFrame:
-    """The rows with their place, from 1, in one order over the whole table.
+    """The rows with their place, from 1, in one order over the whole table; null keys come last.
 
-    Rows are dealt by ranges of the order's keys and numbered within each range; a range's first place is the count of
-    the rows before it: one number a range goes to the driver, never all rows to one task.
+    Rows are dealt by ranges of the order's keys, equal keys by a hash of the row, and that is written, since ranges are
+    drawn from a sample and another run would draw others. They are numbered within each range, and a range begins at
+    the count of the rows before it: one number a range, never all rows in one task.
     """
     keys = {f"_k{i}": c for i, c in enumerate(order)}
-    in_order = [F.col(k).asc_nulls_last() for k in keys]
-    plain = df.select("*", *[_value(c).alias(k) for k, c in keys.items()])
-    dealt = plain.repartitionByRange(*in_order).withColumn("_range", F.spark_partition_id())
+    in_order = [F.col(k).asc_nulls_last() for k in keys] + [F.col("_tie")]
+    plain = df.select("*", F.xxhash64(*df.columns).alias("_tie"), *[_value(c).alias(k) for k, c in keys.items()])
+    dealt = written(plain.repartitionByRange(*in_order).withColumn("_range", F.spark_partition_id()), "ranges")
     within = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("_range").orderBy(*in_order)))
-    counts = dealt.groupBy("_range").agg(F.count("*").alias("n")).withColumn(
-        "_before", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     both = within.join(F.broadcast(counts.select("_range", "_before")), "_range")
     return both.select(*df.columns, (F.col("_before") + F.col("_nth")).cast("long").alias(place))
 
@@ -98,17 +100,19 @@ def _value(column: Column | str) -> Column:
 
 
 def with_previous(df: DataFrame, key: str, order: str, value: str, block: int = 1 << 14) -> DataFrame:
-    """key, order, value and ``previous``: the value of the row before in the key's order.
+    """key, order, value and ``previous``: the value of the row before in the key's order; every row comes back.
 
-    A key may hold very many rows, so its order is cut into blocks of ``block`` numbers; a block's first row looks up
-    the last value of the nearest block before it, which are few.
+    A null key is a key like any other. Rows of a null order come after the key's others, those of equal order go by
+    their values, null first. A key may hold very many rows, so its order is cut into blocks of ``block`` numbers; a
+    block's first row looks up the last value of the nearest block before it, which are few.
     """
-    rows = df.select(key, order, value, F.floor(F.col(order) / block).alias("_block"))
-    in_block = Window.partitionBy(key, "_block").orderBy(order)
-    edges = rows.groupBy(key, "_block").agg(F.max_by(value, order).alias("_last"))
-    edges = edges.select(key, "_block", F.lag("_last").over(Window.partitionBy(key).orderBy("_block")).alias("_edge"))
+    last = F.struct(F.col(order).isNull().alias("late"), F.col(order).alias("order"), F.col(value).alias("value"))
+    rows = df.select(key, order, value, F.coalesce(F.floor(F.col(order) / block), F.lit((1 << 63) - 1)).alias("_block"))
+    in_block = Window.partitionBy(key, "_block").orderBy(F.col(order).asc_nulls_last(), F.col(value).asc_nulls_first())
+    edges = rows.groupBy(F.col(key).alias("_key"), F.col("_block").alias("_of")).agg(F.max(last)["value"].alias("_last"))
+    edges = edges.select("_key", "_of", F.lag("_last").over(Window.partitionBy("_key").orderBy("_of")).alias("_edge"))
     near = rows.withColumn("_lag", F.lag(value).over(in_block)).withColumn("_first", F.row_number().over(in_block) == 1)
-    found = near.join(edges, [key, "_block"])
+    found = near.join(edges, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_of")))
     return found.select(key, order, value, F.when(F.col("_first"), F.col("_edge")).otherwise(F.col("_lag")).alias("previous"))
 
 

@@ -1,7 +1,39 @@
-"""Reads the named Parquet tables of a data folder."""
+"""Reads the named Parquet tables of a data folder, and cuts lineage with tables in the shared folder."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Only where that is unset on one machine, as in tests, is it set to a new local folder; a cluster has to name it.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    if not found:
+        found = Path(tempfile.mkdtemp(prefix="quarry-")).as_uri()
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def new_place(spark: SparkSession, what: str) -> str:
+    """A path below the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/tables/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: later stages start from the files."""
+    place = new_place(df.sparkSession, what)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)

@@ -1,5 +1,6 @@
 """The rest of the library without the corpus subpackage."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -10,8 +11,10 @@ import pytest
 ROOT = Path(__file__).resolve().parents[2]
 
 
+@pytest.mark.parametrize("elsewhere", [None, str(ROOT)])
 @pytest.mark.parametrize("gone", [("quarry/llm", "tests/llm"), ("quarry/llm", "tests/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
-def test_entry_without_the_corpus_subpackage(tmp_path, gone):
+def test_entry_without_the_corpus_subpackage(tmp_path, gone, elsewhere):
+    """Also where another, whole checkout is on the path."""
     copy = tmp_path / "copy"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
     for name in gone:
@@ -20,7 +23,13 @@ def test_entry_without_the_corpus_subpackage(tmp_path, gone):
         else:
             (copy / name).unlink(missing_ok=True)
     code = "import __spark_entry__ as e; n = e.queries(); assert 'a1_status_counts' in n and set(e.oracle_sql()) <= set(n); assert 'pipeline' not in n"
-    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | ({"PYTHONPATH": elsewhere} if elsewhere else {})
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=env)
+
+
+def test_whole_checkout_has_the_pipeline():
+    code = "import __spark_entry__ as e; n = e.queries(); assert {'pipeline', 'op1_secret_scan'} <= set(n)"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
 
 
 def test_nothing_else_imports_the_subpackage():
