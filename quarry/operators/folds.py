@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.sources.tables import written
+
 
 def ttl_accepted(df: DataFrame, keys: list[str], at: Column, ttl: int) -> DataFrame:
     """keys, accepted (times, ascending): a row counts if ``ttl`` has passed since the last one that counted."""
@@ -40,6 +42,36 @@ def disjoint_first(df: DataFrame, group: str, item: str, order: str, places: str
     return df.groupBy(group).agg(fold.kept.alias("kept"))
 
 
+def disjoint_rows(df: DataFrame, group: str, order: str, places: str, rounds: int = 24) -> DataFrame:
+    """The rows that stay: in order, a row goes if any of its places is one of an earlier row of its group that stays.
+
+    Done in rounds, none of which holds a group: a row that is the first of those left at all of its places stays, and
+    all rows with one of its places go. Rows of equal order are taken in the order in which they are written first. Rows
+    without places stay; a null group is a group. Rows in no order in particular need few rounds; what long chains of
+    rows leave after ``rounds`` is folded group by group, with all places of the rows that stayed as seen.
+    """
+    rows = written(df.withColumn("_id", F.monotonically_increasing_id()), "items")
+    turn = F.struct(F.col(order).alias("order"), F.col("_id").alias("id")).alias("turn")
+    pairs = rows.select("_id", turn, F.explode(F.array_distinct(F.col(places))).alias("place"), F.col(group).alias("group"))
+    left = written(pairs.select("_id", "turn", F.struct("group", "place").alias("at")), "places")
+    stayed = rows.where((F.size(F.coalesce(F.col(places), F.array().cast(df.schema[places].dataType))) == 0)).select("_id")
+    for _ in range(rounds):
+        first = left.groupBy("at").agg(F.min("turn").alias("first"))
+        firsts = left.join(first, "at").groupBy("_id").agg(F.bool_and(F.col("turn") == F.col("first")).alias("stays")).where("stays")
+        stay = written(firsts.select("_id"), "stay")
+        stayed = stayed.unionByName(stay)
+        taken = left.join(stay, "_id", "left_semi").select("at").distinct()
+        gone = left.join(taken, "at", "left_semi").select("_id").distinct()
+        left = written(left.join(gone, "_id", "left_anti"), "places")
+        if left.isEmpty():
+            break
+    else:
+        rest = left.groupBy("_id", "turn", F.col("at.group").alias("group")).agg(F.collect_list("at.place").alias("places"))
+        folded = disjoint_first(rest.select("group", "_id", "turn", "places"), "group", "_id", "turn", "places")
+        stayed = stayed.unionByName(folded.select(F.explode("kept").alias("_id")))
+    return rows.join(stayed, "_id", "left_semi").drop("_id")
+
+
 def merged_by_year(df: DataFrame, keys: list[str], order: str, year: str, item: str) -> DataFrame:
     """keys, year, items: rows of a key join the first bucket whose year is the same or unknown on either side.
 
