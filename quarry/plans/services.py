@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import logs, scans
-from quarry.sources import paged
+from quarry.sources import paged, published
 from quarry.sources.tables import new_place, table
 
 QUERIES: dict = {}
@@ -110,3 +110,49 @@ def overlap_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.array(F.col("l_partkey") % 7, F.col("l_suppkey") % 7).alias("places")
     )
     return folds.disjoint_rows(rows.withColumn("turn", F.struct("n", "places")), "o", "turn", "places").select("o", "n")
+
+
+@query("e3_published_table", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority FROM orders")
+def published_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table published twice through the sink; what is read is the second version, whole."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    at = new_place(spark, "published")
+    published.publish(orders.where("o_orderstatus <> 'F'"), at)
+    published.publish(orders, at)
+    return published.published(spark, at, orders.schema)
+
+
+@query("k5_rotated_versions", """SELECT r_regionkey + 1 AS version, CAST((SELECT count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <= r_regionkey) AS BIGINT) AS n,
+    (SELECT max(s_suppkey) FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <= r_regionkey) AS latest FROM region WHERE r_regionkey >= 2""")
+def rotated_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: five versions saved, of which three are kept and can be read."""
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
+    at = new_place(spark, "rotated")
+    for region in range(5):
+        published.publish(rows.where(F.col("n_regionkey") <= region), at, keep=3)
+    kept = [published.published(spark, at, rows.schema, v["version"]).withColumn("version", F.lit(v["version"])) for v in published.versions(at)]
+    all_rows = kept[0]
+    for other in kept[1:]:
+        all_rows = all_rows.unionByName(other)
+    return all_rows.groupBy(F.col("version").cast("int").alias("version")).agg(F.count("*").alias("n"), F.max("s_suppkey").alias("latest"))
+
+
+@query("k10_pushed_events", "SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('error', 'purchase')")
+def pushed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over the event log pushes what ended or failed into an outbox, then runs again and adds nothing."""
+    at = new_place(spark, "outbox")
+    spark.dataSource.register(published.OutboxSource)
+    schema, folder = table(spark, sf_dir, "events").schema, _folder_of(spark, sf_dir, "events")
+    for _ in range(2):
+        stream = spark.readStream.schema(schema).parquet(folder)
+        ended = stream.where("event_type IN ('error', 'purchase')").select("event_id", "user_id", "event_type")
+        run = ended.writeStream.format("quarry_outbox").option("path", at).option("checkpointLocation", f"{at}/_checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return published.pushed(spark, at, ended.schema)
+
+
+def _folder_of(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A stream reads folders: the table is written into one of its own."""
+    at = new_place(spark, f"{name}-folder")
+    table(spark, sf_dir, name).write.parquet(at)
+    return at
