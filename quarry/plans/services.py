@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import logs, scans
-from quarry.sources import paged, published
+from quarry.operators import hooks, logs, scans
+from quarry.sources import inbox, paged, published
 from quarry.sources.tables import new_place, table
 
 QUERIES: dict = {}
@@ -156,3 +156,68 @@ def _folder_of(spark: SparkSession, sf_dir: str, name: str) -> str:
     at = new_place(spark, f"{name}-folder")
     table(spark, sf_dir, name).write.parquet(at)
     return at
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each event, in order: seven routes by number, the event's type as that of the payload."""
+    n, user, kind = F.col("event_id"), F.col("user_id").cast("string"), F.col("event_type")
+    arr = F.when(kind == "view", "Test").when(kind == "click", "Grab").otherwise("Download")
+    body = lambda **fields: F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    part = lambda **fields: F.struct(*[v.alias(k) for k, v in fields.items()])
+    number = n.cast("string")
+    file = lambda a, b="": F.concat(F.lit(a), number, F.lit(b))
+    old = F.array(part(path=file("/old/", ".mkv"), relativePath=F.lit(None).cast("string")), part(path=F.lit(None).cast("string"), relativePath=F.lit("../b.mkv")))
+    bodies = [
+        body(eventType=arr, movie=part(title=F.concat(F.lit("M"), user), folderPath=F.lit("/m/x")), movieFile=part(relativePath=file("y/../f", ".mkv")), deletedFiles=old),
+        body(eventType=arr, series=part(title=F.concat(F.lit("S"), user), path=F.lit("/tv")), episodeFile=part(path=file(" /tv/e")), episodes=F.array(part(seasonNumber=n % 30, episodeNumber=n % 120))),
+        body(eventType=arr, eventTitle=F.concat(F.lit("Cup "), user), filePath=F.when(kind == "error", "").otherwise(file("/sp/"))),
+        body(event=F.when(kind == "view", "media.play").otherwise("library.new"), Server=part(uuid=user), Metadata=part(type=F.lit("movie"), title=F.lit("T"), year=n % 3, ratingKey=number)),
+        body(eventType=F.when(kind == "view", "Test").otherwise("Any"), file_paths=F.array(file("/c//"), file("/c/"), F.lit(" "))),
+        F.when(kind == "view", F.lit("no json")).otherwise(body(NotificationType=F.when(kind == "click", "Play").otherwise("ItemAdded"), ItemId=number, ServerId=user)),
+        body(path=F.when(kind == "error", "").otherwise(file("/p/"))),
+    ]
+    routes = ["radarr", "sonarr", "sportarr", "plex", "custom", "incoming", None]
+    at = n % 7
+    chosen = F.coalesce(*[F.when(at == k, b) for k, b in enumerate(bodies)])
+    route = F.coalesce(*[F.when(at == k, r) for k, r in enumerate(routes) if r], F.concat(F.lit("server/s"), (n % 3).cast("string")))
+    nothing = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "events").select(
+        n.alias("event_id"), route.alias("route"), F.when(at == 0, user).alias("pin"), F.when(at == 3, chosen).otherwise(nothing).alias("form"), F.when(at != 3, chosen).alias("body")
+    )
+    return logs.placed(rows, ["event_id"], "place")
+
+
+@query("s18_webhook_stream", """WITH e AS (SELECT event_id AS n, user_id AS u, event_type AS k, event_id % 7 AS way FROM events),
+    o AS (SELECT *, CASE way WHEN 0 THEN CASE k WHEN 'view' THEN 'test' WHEN 'click' THEN 'ignored' ELSE 'queued' END
+        WHEN 1 THEN CASE k WHEN 'view' THEN 'test' WHEN 'click' THEN 'ignored' ELSE 'queued' END
+        WHEN 2 THEN CASE k WHEN 'view' THEN 'test' WHEN 'click' THEN 'ignored' WHEN 'error' THEN 'ignored_no_path' ELSE 'queued' END
+        WHEN 3 THEN CASE k WHEN 'view' THEN 'ignored' ELSE 'resolve' END
+        WHEN 4 THEN CASE k WHEN 'view' THEN 'test' ELSE 'queued' END
+        WHEN 5 THEN CASE k WHEN 'view' THEN 'invalid' WHEN 'click' THEN 'ignored' ELSE 'resolve' END
+        ELSE CASE n % 3 WHEN 2 THEN 'not_configured' WHEN 1 THEN 'server_disabled' ELSE CASE k WHEN 'error' THEN 'ignored_no_path' ELSE 'queued' END END END AS outcome FROM e)
+    SELECT CASE way WHEN 0 THEN 'radarr' WHEN 1 THEN 'sonarr' WHEN 2 THEN 'sportarr' WHEN 3 THEN 'plex' WHEN 4 THEN 'custom' WHEN 5 THEN 'incoming' ELSE 'server/s' || n % 3 END AS route,
+        CASE way WHEN 0 THEN 'radarr' WHEN 1 THEN 'sonarr' WHEN 2 THEN 'sportarr' WHEN 3 THEN 'plex' WHEN 4 THEN 'custom' WHEN 5 THEN CASE k WHEN 'view' THEN 'unknown' ELSE 'jellyfin' END ELSE 'path' END AS kind,
+        outcome,
+        CASE WHEN outcome IN ('queued', 'resolve', 'ignored_no_path') THEN CASE way WHEN 0 THEN 'M' || u
+            WHEN 1 THEN 'S' || u || ' S' || lpad(CAST(n % 30 AS VARCHAR), 2, '0') || 'E' || CASE WHEN n % 120 < 10 THEN '0' ELSE '' END || n % 120
+            WHEN 2 THEN 'Cup ' || u WHEN 3 THEN CASE WHEN n % 3 = 0 THEN 'T' ELSE 'T (' || n % 3 || ')' END WHEN 4 THEN CAST(n AS VARCHAR) END END AS title,
+        CASE WHEN outcome = 'queued' THEN CASE way WHEN 0 THEN '/m/x/f' || n || '.mkv' WHEN 1 THEN '/tv/e' || n WHEN 2 THEN '/sp/' || n WHEN 4 THEN '/c/' || n ELSE '/p/' || n END ELSE '' END AS paths,
+        CASE WHEN outcome = 'queued' AND way = 0 THEN '/old/' || n || '.mkv,/m/b.mkv' ELSE '' END AS deleted,
+        CASE way WHEN 0 THEN CAST(u AS VARCHAR) WHEN 6 THEN 's' || n % 3 END AS server, CASE WHEN way = 3 OR (way = 5 AND k <> 'view') THEN CAST(u AS VARCHAR) END AS identity,
+        CASE WHEN way = 3 OR (way = 5 AND k <> 'view') THEN CAST(n AS VARCHAR) END AS item_id FROM o""")
+def webhook_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests arrive in segments; the stream is started, stopped and started again, and pushes typed rows once."""
+    box, out = new_place(spark, "inbox"), new_place(spark, "hooks")
+    spark.dataSource.register(published.OutboxSource)
+    rows = requests(spark, sf_dir).drop("event_id")
+    half = rows.agg(F.coalesce(F.floor(F.max("place") / 2000) * 1000, F.lit(0))).first()[0]
+    parts = (rows.where(F.col("place") <= half), rows.where(F.col("place") > half).withColumn("place", F.col("place") - half))
+    join = lambda name: F.array_join(name, ",")
+    for k, part in enumerate(parts):
+        inbox.fill(part, box, first=k * half // 1000)
+        typed = hooks.routed(inbox.stream(spark, box), servers={"s0": True, "s1": False}).select(
+            "route", "kind", "outcome", "title", join("paths").alias("paths"), join("deleted_paths").alias("deleted"), "server", "identity", "item_id"
+        )
+        run = typed.writeStream.format("quarry_outbox").option("path", out).option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return published.pushed(spark, out, typed.schema)
