@@ -12,21 +12,6 @@ from pyspark.sql import functions as F
 from quarry.sources.tables import written
 
 
-def ttl_accepted(df: DataFrame, keys: list[str], at: Column, ttl: int) -> DataFrame:
-    """keys, accepted (times, ascending): a row counts if ``ttl`` has passed since the last one that counted."""
-    times = F.array_sort(F.collect_list(at))
-    none = F.array().cast("array<bigint>")
-    fold = F.aggregate(
-        times,
-        F.struct(F.lit(None).cast("long").alias("last"), none.alias("kept")),
-        lambda s, t: F.when(
-            s.last.isNull() | (t - s.last >= ttl),
-            F.struct(t.alias("last"), F.concat(s.kept, F.array(t)).alias("kept")),
-        ).otherwise(s),
-    )
-    return df.groupBy(*keys).agg(fold.kept.alias("accepted"))
-
-
 def disjoint_first(df: DataFrame, group: str, item: str, order: str, places: str) -> DataFrame:
     """group, kept (items): in order, an item goes if any of its places is one of an item that was kept."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(item).alias("item"), F.col(places).alias("places"))))
@@ -106,13 +91,3 @@ def enumerated_once(df: DataFrame, path: str, order: str, server: str, item: str
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(server, "item")))).alias("items"),
         F.min_by("title", "titled").alias("title"),
     )
-
-
-def replayed(df: DataFrame, key: str, order: list[str], event: str, moves: dict[tuple[str, str], str], start: str) -> DataFrame:
-    """key, state: a state machine run over each key's events; moves it doesn't list leave the state as it is."""
-    table = F.create_map(*[x for (a, b), c in moves.items() for x in (F.lit(f"{a}|{b}"), F.lit(c))])
-    steps = F.array_sort(F.collect_list(F.struct(*order, F.col(event).alias("event"))))
-    state = F.aggregate(
-        steps, F.lit(start), lambda s, e: F.coalesce(F.try_element_at(table, F.concat(s, F.lit("|"), e.event)), s)
-    )
-    return df.groupBy(key).agg(state.alias("state"))

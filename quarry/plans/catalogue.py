@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import folds, logs, paths
+from quarry.operators import chains, folds, logs, paths
 from quarry.sources.tables import table
 
 QUERIES: dict = {}
@@ -332,8 +332,8 @@ _TTL = """WITH RECURSIVE e AS (SELECT user_id, event_type, epoch_us(ts) // 10000
 @query("d6_ttl_dedup", f"{_TTL} SELECT user_id, event_type, CAST(max(n) AS BIGINT) AS accepted FROM f GROUP BY 1, 2")
 def ttl_dedup(spark, sf_dir):
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
-    kept = folds.ttl_accepted(table(spark, sf_dir, "events"), ["user_id", "event_type"], at, 86400)
-    return kept.select("user_id", "event_type", F.size("accepted").cast("long").alias("accepted"))
+    kept = chains.ttl_taken(table(spark, sf_dir, "events"), ["user_id", "event_type"], at, 86400)
+    return kept.groupBy("user_id", "event_type").agg(F.count("*").alias("accepted"))
 
 
 @query("d11_covered_episodes", """SELECT p_partkey FROM part WHERE NOT (p_size % 2 = 1 AND p_brand IN (SELECT p_brand FROM part WHERE p_size % 2 = 0 AND p_retailprice > 1500))""")
@@ -494,7 +494,39 @@ def chain_replay(spark, sf_dir):
         ("scheduled", "view"): "queued", ("queued", "click"): "running", ("running", "purchase"): "completed",
         ("running", "error"): "scheduled", ("queued", "signup"): "cancelled",
     }
-    return folds.replayed(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", moves, "scheduled")
+    return chains.replayed(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", moves, "scheduled").drop("n")
+
+
+#: Attempts of a retry chain until it is exhausted.
+ATTEMPTS = 3
+
+
+def chain_moves(attempts: int) -> dict[tuple[str, str], str]:
+    """A retry chain with its attempts: waiting for a slot, running, tried again until exhausted; cancelled stays."""
+    moves = {}
+    for n in range(1, attempts + 1):
+        again = f"scheduled {n + 1}" if n < attempts else "exhausted"
+        moves |= {(f"scheduled {n}", "signup"): f"queued_for_slot {n}", (f"queued_for_slot {n}", "click"): f"running {n}", (f"scheduled {n}", "click"): f"running {n}"}
+        moves |= {(f"running {n}", "error"): again, (f"running {n}", "view"): "completed"}
+        moves |= {(f"{state} {n}", "purchase"): "cancelled" for state in ("scheduled", "queued_for_slot")}
+    return moves | {("completed", "error"): "scheduled 1"}
+
+
+@query("t5_retry_chain", f"""WITH RECURSIVE e AS (SELECT user_id, event_type AS ev, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    f(user_id, i, s, n) AS (SELECT user_id, CAST(0 AS BIGINT), 'scheduled', 1 FROM (SELECT DISTINCT user_id FROM e) UNION ALL
+        SELECT f.user_id, e.i,
+            CASE WHEN f.s = 'scheduled' AND e.ev = 'signup' THEN 'queued_for_slot' WHEN f.s IN ('scheduled', 'queued_for_slot') AND e.ev = 'click' THEN 'running'
+                WHEN f.s IN ('scheduled', 'queued_for_slot') AND e.ev = 'purchase' THEN 'cancelled' WHEN f.s = 'running' AND e.ev = 'view' THEN 'completed'
+                WHEN f.s = 'running' AND e.ev = 'error' THEN CASE WHEN f.n < {ATTEMPTS} THEN 'scheduled' ELSE 'exhausted' END
+                WHEN f.s = 'completed' AND e.ev = 'error' THEN 'scheduled' ELSE f.s END,
+            CASE WHEN f.s = 'running' AND e.ev = 'error' THEN f.n + 1 WHEN f.s = 'completed' AND e.ev = 'error' THEN 1 ELSE f.n END
+        FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+    SELECT user_id, arg_max(s, i) AS state, CAST(CASE WHEN arg_max(s, i) IN ('scheduled', 'queued_for_slot', 'running') THEN arg_max(n, i) END AS INT) AS attempt, max(i) AS n FROM f GROUP BY 1""")
+def retry_chain(spark, sf_dir):
+    """T5 with slots, attempts and exhaustion; no key's events are ever in one place."""
+    found = chains.replayed(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", chain_moves(ATTEMPTS), "scheduled 1")
+    parts = F.split("state", " ")
+    return found.select("user_id", parts[0].alias("state"), F.try_element_at(parts, F.lit(2)).cast("int").alias("attempt"), "n")
 
 
 @query("h1_rule_audit", """SELECT n_nationkey, rule, wanted FROM nation, (VALUES ('region', 1), ('even', 0)) r(rule, wanted)

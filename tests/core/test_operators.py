@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quarry.functions import text as T
-from quarry.operators import folds, logs, paths, scopes, search
+from quarry.operators import chains, folds, logs, paths, scopes, search
 from quarry.plans import registry
 from quarry.sources import frame_index
 from quarry.sources.paged import PagedSource
@@ -53,8 +53,7 @@ def test_entry_runs(spark):
 
 def test_ttl_counts_from_the_last_accepted(spark):
     rows = spark.createDataFrame([(1, t) for t in (0, 50, 99, 100, 150, 199, 230)], "k int, t long")
-    found = folds.ttl_accepted(rows, ["k"], F.col("t"), 100).first()
-    assert found.accepted == [0, 100, 230]
+    assert sorted(r["at"] for r in chains.ttl_taken(rows, ["k"], F.col("t"), 100).collect()) == [0, 100, 230]
 
 
 def test_overlap_dedup_is_not_transitive(spark):
@@ -305,7 +304,7 @@ def test_streamed_ttl_over_micro_batches(spark, tmp_path):
     run = taken.writeStream.format("memory").queryName("slow").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination(180)
     rows = spark.read.schema(row.schema).json(str(tmp_path / "in"))
-    fold = folds.ttl_accepted(rows, ["key"], F.col("n").cast("long"), 100).first().accepted
+    fold = sorted(r["at"] for r in chains.ttl_taken(rows, ["key"], F.col("n"), 100).collect())
     assert sorted(r.n for r in spark.table("slow").collect()) == fold == [0, 100, 230, 1000, 1101]
 
 
