@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import folds, logs, paths, scopes, search
+from quarry.operators import caches, folds, logs, paths, scopes, search
 from quarry.plans.catalogue import PATHS_SQL, ROOTS, page_paths, roots
 from quarry.sources.tables import table
 from quarry.streaming import webhooks
@@ -175,6 +175,25 @@ def frame_cache(spark, sf_dir):
     return few.withColumn("held", held).where("nth = 1 OR held <= 20000").select("source", "doc_id")
 
 
+@query("t7_cache_by_use", """WITH RECURSIVE a AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS place, user_id || '/' || event_type AS key, CAST(floor(epoch(ts)) AS BIGINT) AS tm, user_id % 50 + 1 AS size FROM events),
+    p AS (SELECT *, coalesce(lag(place) OVER (PARTITION BY key ORDER BY place), 0) AS prev FROM a),
+    d AS (SELECT i.place, count(j.place) AS others, coalesce(sum(j.size), 0) AS bytes FROM p i LEFT JOIN p j ON j.place > i.prev AND j.place < i.place AND j.prev <= i.prev WHERE i.prev > 0 GROUP BY 1),
+    h AS (SELECT p.*, coalesce(others < 200 AND (others = 0 OR bytes + size <= 4500), false) AS held FROM p LEFT JOIN d USING (place)),
+    r AS (SELECT *, sum((NOT held)::INT) OVER (PARTITION BY key ORDER BY place) AS run FROM h),
+    n AS (SELECT *, row_number() OVER (PARTITION BY key, run ORDER BY place) AS i FROM r),
+    f(key, run, i, place, made, hit) AS (SELECT key, run, i, place, tm, false FROM n WHERE i = 1 UNION ALL
+        SELECT n.key, n.run, n.i, n.place, CASE WHEN n.tm - f.made > 86400 THEN n.tm ELSE f.made END, n.tm - f.made <= 86400 FROM f JOIN n ON n.key = f.key AND n.run = f.run AND n.i = f.i + 1)
+    SELECT place, key, hit FROM f""")
+def cache_by_use(spark, sf_dir):
+    """T7 in access order: the cache drops what was used longest ago, by number and bytes, and what is too old."""
+    rows = table(spark, sf_dir, "events").select(
+        "ts", "event_id", F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), (F.col("user_id") % 50 + 1).alias("size"),
+    )
+    found = caches.accesses(rows, ["ts", "event_id"], "key", "at", "size", entries=200, most_bytes=4500, ttl=86_400)
+    return found.select("place", "key", "hit")
+
+
 @query("t3_fire_now", """WITH g AS (SELECT *, ts - lag(ts) OVER w >= INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL AS fresh FROM events WHERE ts < TIMESTAMP '2024-01-15' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g), b AS (SELECT user_id, max(ts) + INTERVAL 1 HOUR AS fires, count(*) AS n FROM s GROUP BY user_id, session)
     SELECT user_id, n FROM b WHERE fires <= TIMESTAMP '2024-01-15' OR user_id % 3 = 0""")
