@@ -20,7 +20,13 @@ RELEASE_WORDS = (
 EPISODE = r"(?U)\b[Ss](\d{1,3})[Ee](\d{1,4})\b"
 CROSS = r"(?U)\b(\d{1,3})[xX](\d{1,4})\b"
 FILE_EPISODE = r"(?U)\b[Ss](\d{1,3})[Ee](\d{1,3})\b"
-YEAR = r"\((?:19|20)[0-9]{2}\)"
+YEAR = r"\((?:19|20)\d{2}\)"
+#: Fixed patterns: what is cut from a folder's name, a leading article, a season's folder, an episode in a file name, and
+#: a version with what may follow it.
+FOLDER_YEAR, FOLDER_TAG = r"\s*\([0-9]{4}\)\s*", r"\s*\[[^]]+\]\s*"
+ARTICLE = r"(?i)^(?:the|a|an)\s+"
+SEASON_FOLDER, FOLDER_EPISODE = r"(?i)^season\b", r"(?i)(?:S\d+E\d+|s\d+e\d+|\d+x\d+)"
+VERSION = r"^(\d+)\.(\d+)\.(\d+)(?:\.(?:post|dev)\d+)?(?:-[a-zA-Z0-9.-]+)?(?:\+[a-zA-Z0-9.-]+)?$"
 
 
 def _number(text: Column) -> Column:
@@ -125,9 +131,24 @@ def clean_title(path: Column) -> Column:
 
 
 def title_prefix(title: Column) -> Column:
-    """The first word without year, article and accents, in lower case: what sibling titles are grouped by."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(title, YEAR, ""), r"\[[^\]]*\]", ""))
-    return F.regexp_extract(F.regexp_replace(F.lower(without_accents(bare)), "^(the|a|an) ", ""), "^([a-z0-9]+)", 1)
+    """The first word of a title without years, tags, a leading article and accents; null below two letters."""
+    cut = F.regexp_replace(F.regexp_replace(title, FOLDER_YEAR, " "), FOLDER_TAG, " ")
+    bare = F.trim(without_accents(F.regexp_replace(F.trim(F.regexp_replace(cut, r"\s+", " ")), ARTICLE, "")))
+    first = F.regexp_extract(bare, r"^(\S+)", 1)
+    return F.when(F.length(first) >= 2, first)
+
+
+def folder_prefix(path: Column) -> Column:
+    """struct(prefix, episode): the title prefix of the folder that names a file's show or film, and whether it is an episode.
+
+    The folder is the one above the first season's, else the file's own. An episode is known by a season's folder or by
+    its file name.
+    """
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    at = F.array_min(F.array_compact(F.transform(parts, lambda p, i: F.when((i > 0) & p.rlike(SEASON_FOLDER), i))))
+    folder = F.when(at.isNotNull(), F.try_element_at(parts, at)).otherwise(F.when(F.size(parts) > 1, F.try_element_at(parts, F.lit(-2))))
+    episode = at.isNotNull() | F.element_at(parts, -1).rlike(FOLDER_EPISODE)
+    return F.struct(title_prefix(folder).alias("prefix"), F.coalesce(episode, F.lit(False)).alias("episode"))
 
 
 @F.pandas_udf(StringType())
@@ -159,9 +180,9 @@ def version(value: Column) -> Column:
 
     After the parts may come a post or dev release, a hyphened and a plus-signed suffix, which don't count.
     """
-    parts = r"^v*([0-9]+)\.([0-9]+)\.([0-9]+)(?:\.(?:post|dev)[0-9]+)?(?:-[a-zA-Z0-9.-]+)?(?:\+[a-zA-Z0-9.-]+)?$"
-    number = lambda i: _number(F.regexp_extract(value, parts, i))
-    return F.when(value.rlike(parts), F.struct(number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch")))
+    bare = F.regexp_replace(value, "^v+", "")
+    number = lambda i: _number(F.regexp_extract(bare, VERSION, i))
+    return F.when(bare.rlike(VERSION), F.struct(number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch")))
 
 
 def minutes(clock: Column) -> Column:

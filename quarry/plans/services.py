@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import hooks, logs, scans
+from quarry.operators import hooks, logs, lookups, polls, scans
 from quarry.sources import inbox, paged, published
-from quarry.sources.tables import new_place, table
+from quarry.sources.tables import new_place, table, written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -221,3 +221,70 @@ def webhook_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         run = typed.writeStream.format("quarry_outbox").option("path", out).option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start()
         run.awaitTermination()
     return published.pushed(spark, out, typed.schema)
+
+
+#: What the lookup asks for is cut from the parts' own paths by their number: as it is, deeper, elsewhere, by another name.
+_LOOKUP_SQL = r"""WITH items AS (SELECT p_partkey AS item, '/lib/' || p_brand AS root, CASE WHEN p_partkey % 12 = 0 THEN CAST(p_partkey % 50 AS VARCHAR) ELSE p_name END AS name,
+        CASE WHEN p_partkey % 6 = 0 THEN 'X' ELSE split_part(p_name, ' ', 1) || ' (1999)' END AS folder, CAST(p_partkey % 50 AS VARCHAR) AS stem, p_name, p_brand FROM part),
+    i AS (SELECT *, root || '/' || folder || '/' || stem || '.mkv' AS path FROM items),
+    asked AS (SELECT DISTINCT root, folder, stem, split_part(folder, ' ', 1) AS word, CASE item % 5 WHEN 0 THEN root || '/' || folder WHEN 1 THEN root || '/deep/' || folder WHEN 2 THEN '/other/' || folder WHEN 3 THEN root || '/Zzz' ELSE root || '/deep/The ' || folder END
+        || '/' || stem || '.mkv' AS path, CASE item % 5 WHEN 3 THEN 'Zzz' WHEN 4 THEN 'The ' || folder ELSE folder END AS tail FROM i),
+    exact AS (SELECT path, min(item) AS item, 'exact' AS tier FROM (SELECT DISTINCT path FROM asked) JOIN i USING (path) GROUP BY 1),
+    l AS (SELECT DISTINCT root, stem, tail, path, CASE WHEN len(regexp_extract(regexp_replace(tail, '^The ', ''), '^(\S+)', 1)) >= 2 THEN lower(regexp_extract(regexp_replace(tail, '^The ', ''), '^(\S+)', 1)) END AS prefix
+        FROM asked ANTI JOIN exact USING (path) WHERE NOT starts_with(path, '/other/')),
+    m AS (SELECT l.path, prefix, i.item, i.name, l.stem FROM l JOIN i ON i.root = l.root AND i.stem = l.stem AND ends_with(i.path, l.tail || '/' || l.stem || '.mkv')),
+    p AS (SELECT path, min(item) AS item, 'prefix' AS tier FROM m WHERE starts_with(lower(name), prefix) GROUP BY 1),
+    s AS (SELECT path, min(item) AS item, 'search' AS tier FROM m WHERE prefix IS NULL AND name = stem GROUP BY 1),
+    e AS (SELECT path, min(item) AS item, 'enumerate' AS tier FROM m ANTI JOIN s USING (path) WHERE prefix IS NULL GROUP BY 1),
+    found AS (SELECT * FROM exact UNION ALL SELECT * FROM p UNION ALL SELECT * FROM s UNION ALL SELECT * FROM e)
+    SELECT path, item, tier FROM found UNION ALL
+    SELECT DISTINCT path, NULL, CASE WHEN starts_with(path, '/other/') THEN 'no_library' ELSE (SELECT CASE WHEN max(prefix) IS NULL THEN 'miss' ELSE 'prefix_miss' END FROM l WHERE l.path = a.path) END
+    FROM asked a ANTI JOIN found USING (path)"""
+
+
+@query("j19_tiered_lookup", _LOOKUP_SQL)
+def tiered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact path, library, name prefix, search and enumeration, each for what is left."""
+    n, root = F.col("p_partkey"), F.concat(F.lit("/lib/"), F.col("p_brand"))
+    stem = (n % 50).cast("string")
+    folder = F.when(n % 6 == 0, "X").otherwise(F.concat(F.split("p_name", " ")[0], F.lit(" (1999)")))
+    file = lambda *parts: F.concat(*parts, F.lit("/"), stem, F.lit(".mkv"))
+    rows = table(spark, sf_dir, "part")
+    items = rows.select(n.alias("item"), file(root, F.lit("/"), folder).alias("path"), F.when(n % 12 == 0, stem).otherwise(F.col("p_name")).alias("name"), n.alias("turn"))
+    asked = (
+        F.when(n % 5 == 0, file(root, F.lit("/"), folder)).when(n % 5 == 1, file(root, F.lit("/deep/"), folder)).when(n % 5 == 2, file(F.lit("/other/"), folder))
+        .when(n % 5 == 3, file(root, F.lit("/Zzz"))).otherwise(file(root, F.lit("/deep/The "), folder))
+    )
+    roots = rows.select(root.alias("root"), F.col("p_brand").alias("library")).distinct()
+    return lookups.tiered(rows.select(asked.alias("path")), items, roots)
+
+
+@query("n1_hierarchy_any_depth", """WITH RECURSIVE items AS (SELECT 'r' || r_regionkey AS id, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+    UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders),
+    f(asked, way) AS (SELECT id, id FROM items WHERE id[1] IN ('r', 'c') UNION ALL SELECT f.asked, i.id FROM f JOIN items i ON i.parent = f.way)
+    SELECT DISTINCT asked, way AS leaf FROM f WHERE way NOT IN (SELECT parent FROM items WHERE parent IS NOT NULL)""")
+def hierarchy_any_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N1 at any depth: regions and customers become the orders below them; a customer without orders stands for itself."""
+    level = lambda name, kind, key, above, parent: table(spark, sf_dir, name).select(
+        F.concat(F.lit(kind), F.col(key).cast("string")).alias("id"), F.concat(F.lit(above), F.col(parent).cast("string")).alias("parent") if parent else F.lit(None).cast("string").alias("parent"), F.lit(name).alias("kind"))
+    items = level("region", "r", "r_regionkey", "", None)
+    for one in (("nation", "n", "n_nationkey", "r", "n_regionkey"), ("customer", "c", "c_custkey", "n", "c_nationkey"), ("orders", "o", "o_orderkey", "c", "o_custkey")):
+        items = items.unionByName(level(*one))
+    return lookups.leaves(items, items.where("kind IN ('region', 'customer')").select("id"))
+
+
+@query("t13_incremental_poll", """WITH o AS (SELECT o_orderkey AS id, CAST(epoch(o_orderdate) AS BIGINT) AS added, o_orderkey % 10 < 8 AND o_orderdate < TIMESTAMP '1997-01-01' AS early FROM orders),
+    mark AS (SELECT max(added) AS m FROM o WHERE early AND added >= 700000000)
+    SELECT 1 AS run, id, added FROM o WHERE early AND added >= 700000000
+    UNION ALL SELECT 2, id, added FROM o, mark WHERE NOT (early AND added >= 700000000) AND added >= m - 2592000""")
+def incremental_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first poll, then one that also finds rows that are late by up to thirty days, none twice."""
+    orders = table(spark, sf_dir, "orders")
+    items = orders.select(F.col("o_orderkey").alias("id"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("added"), (F.col("o_orderkey") % 10 < 8).alias("there"), "o_orderdate")
+    at = new_place(spark, "claims")
+    first = polls.poll(items.where("there AND o_orderdate < TIMESTAMP_NTZ '1997-01-01'"), at, "id", "added", 2_592_000, since=700_000_000)
+    first = written(first.select(F.lit(1).alias("run"), "id", "added"), "poll")
+    second = polls.poll(items, at, "id", "added", 2_592_000)
+    third = polls.poll(items, at, "id", "added", 2_592_000)
+    parts = [found.select(F.lit(k).alias("run"), "id", "added") for k, found in ((2, second), (3, third))]
+    return first.unionByName(parts[0]).unionByName(parts[1])

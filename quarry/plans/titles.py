@@ -61,14 +61,16 @@ def clean_title(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.clean_title(F.concat(F.lit("/tv/x/"), "p_name", rest, F.lit(".mkv"))).alias("title"))
 
 
-@query("x6_title_prefix", """SELECT p_partkey, regexp_extract(regexp_replace(lower(strip_accents(t)), '^(the|a|an) ', ''), '^([a-z0-9]+)', 1) AS prefix
-    FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'The ' ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN 'É' ELSE '' END || p_name AS t FROM part)""")
+@query("x6_title_prefix", r"""SELECT p_partkey, CASE WHEN len(w) >= 2 THEN w END AS prefix FROM (
+    SELECT p_partkey, regexp_extract(strip_accents(regexp_replace(f, '(?i)^(the|a|an)\s+', '')), '^(\S+)', 1) AS w FROM (
+    SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'The ' ELSE '' END || CASE WHEN p_partkey % 7 = 0 THEN 'É ' WHEN p_partkey % 5 = 0 THEN 'É-' ELSE '' END || p_name AS f FROM part))""")
 def title_prefix(spark, sf_dir):
-    """The first word without year, tags, article and accents."""
+    """The first word of the folder that names a file, without years, tags, article and accents."""
     article = F.when(F.col("p_partkey") % 2 == 0, "The ").otherwise("")
-    accent = F.when(F.col("p_partkey") % 5 == 0, "É").otherwise("")
-    title = F.concat(article, accent, F.col("p_name"), F.lit(" (1987) [tag]"))
-    return table(spark, sf_dir, "part").select("p_partkey", T.title_prefix(title).alias("prefix"))
+    accent = F.when(F.col("p_partkey") % 7 == 0, "É ").when(F.col("p_partkey") % 5 == 0, "É-").otherwise("")
+    folder = F.concat(F.lit("/tv/"), article, accent, F.col("p_name"), F.lit(" (1787) [tag]"))
+    path = F.concat(folder, F.when(F.col("p_partkey") % 3 == 0, "/Season 01/e.mkv").otherwise("/e.mkv"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.folder_prefix(path)["prefix"].alias("prefix"))
 
 
 @query("x8_season_only", "SELECT p_partkey, (p_partkey % 12)::INT AS season FROM part WHERE p_partkey % 2 = 0")
