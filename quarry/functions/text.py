@@ -95,13 +95,19 @@ def parsed_query(raw: Column) -> Column:
     )
 
 
-def rank_score(name: Column, title: Column, tokens: Column, halved: Column) -> Column:
-    """1 for the title itself, 0.8 if the name starts with it, 0.5 for all tokens, 0.2 for some; halved on request."""
-    low, wanted = F.lower(name), F.lower(title)
-    hits = F.size(F.filter(tokens, lambda t: F.contains(low, t)))
+def rank_score(name: Column, title: Column, tokens: Column | list[str], halved: Column) -> Column:
+    """1 for the title itself, 0.8 if the name starts with it, 0.5 for all tokens, 0.2 for some; halved on request.
+
+    Blanks around the name don't count; an empty or null name scores 0. Tokens as a list make plain comparisons.
+    """
+    low, wanted = F.trim(F.lower(name)), F.trim(F.lower(title))
+    if isinstance(tokens, list):
+        hits, most = sum((F.contains(low, F.lit(t)).cast("int") for t in tokens), F.lit(0)), F.lit(len(tokens))
+    else:
+        hits, most = F.size(F.filter(tokens, lambda t: F.contains(low, t))), F.size(tokens)
     score = (
-        F.when(F.size(tokens) == 0, 0.0).when(low == wanted, 1.0).when(low.startswith(wanted), 0.8)
-        .when(hits == F.size(tokens), 0.5).when(hits > 0, 0.2).otherwise(0.0)
+        F.when((most == 0) | (F.coalesce(name, F.lit("")) == ""), 0.0).when(low == wanted, 1.0).when(low.startswith(wanted), 0.8)
+        .when(hits == most, 0.5).when(hits > 0, 0.2).otherwise(0.0)
     )
     return F.when(halved, score * 0.5).otherwise(score)
 
@@ -198,19 +204,19 @@ def in_window(now: Column, start: Column, end: Column) -> Column:
     return F.coalesce((start != end) & inside, F.lit(False))
 
 
-def in_any_window(at: Column, windows: list[tuple[str, str, tuple[str, ...]]]) -> Column:
+def in_any_window(at: Column, windows: list[tuple[str, str, tuple[str, ...]]], enabled: bool = True) -> Column:
     """Whether a time lies in one of the windows (start, end, days as ``mon`` to ``sun``; none means every day).
 
-    The day is the one of the time itself, so the part of a window after midnight counts for the day it falls on. A
+    Days are read without blanks and in any case; unknown ones don't count. Switched off, no time does. The day is the one of the time itself, so the part of a window after midnight counts for the day it falls on. A
     window with an invalid time counts for nothing.
     """
     now, today = F.hour(at) * 60 + F.minute(at), F.lower(F.date_format(at, "EEE"))
     found = F.lit(False)
     for start, end, days in windows:
-        known = [d for d in days if d in ("mon", "tue", "wed", "thu", "fri", "sat", "sun")]
+        known = [d for d in (str(day).strip().lower() for day in days) if d in ("mon", "tue", "wed", "thu", "fri", "sat", "sun")]
         on = today.isin(*known) if known else F.lit(True)
         found = found | (on & in_window(now, minutes(F.lit(start)), minutes(F.lit(end))))
-    return found
+    return found & F.lit(enabled)
 
 
 def backoff(attempt: Column, delay: Column, schedule: tuple[int, ...] = (60, 300, 900, 3600, 7200)) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import chains, folds, logs, paths
+from quarry.operators import chains, folds, logs, paths, search
 from quarry.sources.tables import table
 
 QUERIES: dict = {}
@@ -357,18 +357,11 @@ def owners_per_server(spark, sf_dir):
     WHEN contains(lower(p_name), 'blue') THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM part) WHERE score >= 0.3 ORDER BY score DESC, p_partkey LIMIT 50""")
 def ranked_search(spark, sf_dir):
     """Scored, floored, the best 50 with ties in input order."""
-    q = T.parsed_query(F.lit("blue"))
-    score = T.rank_score(F.col("p_name"), q.title, q.tokens, F.lit(False))
+    score = search.parsed(spark, "blue").score(F.col("p_name"))
     rows = table(spark, sf_dir, "part").select("p_partkey", score.alias("score")).where("score >= 0.3")
     return rows.orderBy(F.desc("score"), "p_partkey").limit(50)
 
 
-@query("o8_longest_first", "SELECT root, row_number() OVER (ORDER BY len(root) DESC, root) AS place FROM (VALUES " + ", ".join(f"('{r[3]}')" for r in ROOTS) + ") v(root)")
-def longest_first(spark, sf_dir):
-    in_order = Window.orderBy(F.desc(F.length("root")), "root")
-    return roots(spark).select("root", F.row_number().over(in_order).cast("long").alias("place"))
-
-
 @query("o9_kind_order", """SELECT p_partkey FROM part ORDER BY CASE WHEN p_size < 10 THEN 0 WHEN p_size < 20 THEN 1 ELSE 2 END, p_partkey LIMIT 25""")
 def kind_order(spark, sf_dir):
     rank = F.when(F.col("p_size") < 10, 0).when(F.col("p_size") < 20, 1).otherwise(2)

@@ -229,18 +229,89 @@ def _episodes(spark, sf_dir) -> DataFrame:
     o AS (SELECT show_id, name, 0.5::DOUBLE AS score FROM s WHERE contains(low, 'b') AND NOT EXISTS (SELECT 1 FROM h)), k AS (SELECT * FROM (SELECT * FROM h UNION ALL SELECT * FROM o) ORDER BY score DESC, show_id LIMIT 50)
     SELECT k.show_id, name, score, (l_suppkey % 3)::INT AS season, l_linenumber AS episode, l_orderkey AS id FROM lineitem JOIN k ON l_partkey = k.show_id WHERE l_suppkey % 3 = 1 AND l_linenumber = 2""")
 def two_pass_search(spark, sf_dir):
-    """Q-S1, Q-S2 and Q-S5: the search is parsed, shows are found, scored and cut, then opened to the episode asked for."""
+    """Shows are found, scored and cut, then opened to the episode asked for."""
     shows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("show_id"), F.col("p_name").alias("name"))
     return search.two_pass(shows, _episodes(spark, sf_dir), "B.s01e02", 50)
 
 
+def _catalogue(spark, sf_dir) -> DataFrame:
+    """A third of the parts are films, the others shows; line items are episodes of their part, named after it."""
+    part, items = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    n, none = F.col("p_partkey"), F.lit(None).cast("int")
+    film = n % 3 == 0
+    titles = part.select(
+        n.alias("id"), F.when(film, "movie").otherwise("show").alias("kind"), F.col("p_name").alias("name"), n.alias("turn"),
+        F.when(film & (n % 2 == 0), F.concat(F.lit("/f/"), n.cast("string"))).alias("path"), F.lit(None).cast("long").alias("show_id"), none.alias("season"), none.alias("episode"),
+    )
+    season, number = (F.col("l_suppkey") % 3).cast("int"), F.col("l_linenumber").cast("int")
+    own = (F.col("l_orderkey") * 10 + F.col("l_linenumber") + 1_000_000).alias("id")
+    name = F.concat("p_name", F.lit(" S0"), season.cast("string"), F.lit("E0"), number.cast("string"))
+    joined = items.join(part, F.col("l_partkey") == n).where(~film)
+    episodes = joined.select(own, F.lit("episode").alias("kind"), name.alias("name"), own.alias("turn"), F.concat(F.lit("/e/"), own.cast("string")).alias("path"),
+                             n.alias("show_id"), season.alias("season"), number.alias("episode"))
+    return titles.unionByName(episodes.groupBy("id").agg(F.min_by(F.struct(*episodes.columns), "show_id").alias("row")).select("row.*"))
+
+
+_CATALOGUE_SQL = """WITH t AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'movie' ELSE 'show' END AS kind, p_name AS name, p_partkey AS turn, CASE WHEN p_partkey % 6 = 0 THEN '/f/' || p_partkey END AS path,
+        NULL::BIGINT AS show_id, NULL::INT AS season, NULL::INT AS episode FROM part),
+    e AS (SELECT l_orderkey * 10 + l_linenumber + 1000000 AS id, 'episode' AS kind, p_name || ' S0' || l_suppkey % 3 || 'E0' || l_linenumber AS name, l_orderkey * 10 + l_linenumber + 1000000 AS turn,
+        '/e/' || (l_orderkey * 10 + l_linenumber + 1000000) AS path, p_partkey AS show_id, (l_suppkey % 3)::INT AS season, l_linenumber::INT AS episode FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_partkey % 3 <> 0
+        QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY p_partkey, l_suppkey % 3) = 1),
+    c AS (SELECT * FROM t UNION ALL SELECT * FROM e),"""
+
+
+@query("qs1_series_first", _CATALOGUE_SQL + """
+    s AS (SELECT id AS show_id, turn AS rank FROM c WHERE kind = 'show' AND starts_with(lower(name), 'b') ORDER BY turn LIMIT 10),
+    x AS (SELECT rank, e.* FROM e JOIN s USING (show_id) WHERE season = 1 AND episode = 2)
+    SELECT (row_number() OVER (ORDER BY season, episode, turn))::INT AS place, id, name, path FROM x WHERE rank = (SELECT min(rank) FROM x) ORDER BY place LIMIT 50""")
+def series_first(spark, sf_dir):
+    """Q-S1: the first show that has the episode answers."""
+    return search.series_first(_catalogue(spark, sf_dir), "B.S01E02")
+
+
+@query("qs1_ranked_fallback", _CATALOGUE_SQL + """
+    h AS (SELECT *, CASE WHEN lower(name) = 'ue' THEN 1.0 WHEN starts_with(lower(name), 'ue') THEN 0.8 ELSE 0.5 END AS score FROM (SELECT * FROM c WHERE contains(lower(name), 'ue') ORDER BY turn LIMIT 160)),
+    r AS (SELECT *, row_number() OVER (ORDER BY score DESC, turn) AS rank FROM h QUALIFY rank <= 80),
+    x AS (SELECT r.rank, e.id, e.name, e.path, e.season, e.episode, e.turn FROM r JOIN e ON e.show_id = r.id WHERE r.kind = 'show'),
+    f AS (SELECT coalesce(min(rank), 2147483647) AS first FROM x),
+    b AS (SELECT rank, id, name, path, season, episode, turn FROM r WHERE kind <> 'show' AND path IS NOT NULL UNION ALL SELECT * FROM x),
+    o AS (SELECT b.* FROM b, f WHERE rank <= first QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, season NULLS FIRST, episode NULLS FIRST, turn) = 1)
+    SELECT (row_number() OVER w)::INT AS place, id, name, path FROM o WINDOW w AS (ORDER BY rank, season NULLS FIRST, episode NULLS FIRST, turn) QUALIFY row_number() OVER w <= 40""")
+def ranked_fallback(spark, sf_dir):
+    """Q-S1: no show's name begins so; the best hits, up to the first show with episodes."""
+    return search.series_first(_catalogue(spark, sf_dir), "ue", 40)
+
+
+@query("qs2_hub_search", _CATALOGUE_SQL + """
+    h AS (SELECT * FROM c WHERE contains(lower(name), 'b') QUALIFY row_number() OVER (PARTITION BY kind ORDER BY turn) <= 30),
+    r AS (SELECT *, CASE WHEN lower(name) = 'b' THEN 1.0 WHEN starts_with(lower(name), 'b') THEN 0.8 ELSE 0.5 END * CASE WHEN kind = 'movie' THEN 0.5 ELSE 1 END AS score FROM h),
+    k AS (SELECT *, row_number() OVER (ORDER BY score DESC, turn) AS rank FROM r WHERE score >= 0.3 QUALIFY rank <= 60),
+    b AS (SELECT rank, id, name, path, season, episode, turn FROM k WHERE kind <> 'show' AND path IS NOT NULL
+        UNION ALL SELECT k.rank, e.id, e.name, e.path, e.season, e.episode, e.turn FROM k JOIN e ON e.show_id = k.id WHERE k.kind = 'show' AND e.season = 2 AND e.episode = 1)
+    SELECT (row_number() OVER w)::INT AS place, id, name, path FROM b WINDOW w AS (ORDER BY rank, season NULLS FIRST, episode NULLS FIRST, turn) QUALIFY row_number() OVER w <= 30""")
+def hub_search(spark, sf_dir):
+    """Q-S2: hits of every kind, scored together, shows opened to the episode where they stand."""
+    return search.hub_search(_catalogue(spark, sf_dir), "b s02e01", 30)
+
+
+@query("qs5_legacy_preview_search", _CATALOGUE_SQL + """
+    s AS (SELECT id AS show_id, turn AS rank FROM c WHERE kind = 'show' AND contains(lower(name), 'ue')),
+    b AS (SELECT 0 AS phase, rank, id, name, path, season, episode, turn FROM e JOIN s USING (show_id) UNION ALL
+        SELECT 1, turn, id, name, path, 0, 0, turn FROM c WHERE kind <> 'show' AND contains(lower(name), 'ue')),
+    o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY phase, rank, season, episode, turn) = 1)
+    SELECT (row_number() OVER w)::INT AS place, id, name, path FROM o WINDOW w AS (ORDER BY phase, rank, season, episode, turn) QUALIFY row_number() OVER w <= 15""")
+def legacy_preview_search(spark, sf_dir):
+    """Q-S5: shows' episodes first, then direct hits, each key once."""
+    return search.preview_search(_catalogue(spark, sf_dir), "ue")
+
+
 @query("qs3_suggestions", """SELECT p_partkey AS show_id, p_name AS name, CASE WHEN lower(p_name) = 'b' THEN 1.0 WHEN starts_with(lower(p_name), 'b') THEN 0.8 ELSE 0.5 END::DOUBLE AS score
     FROM part WHERE contains(lower(p_name), 'b') ORDER BY score DESC, show_id LIMIT 25""")
 def suggestions(spark, sf_dir):
     """Q-S3: the shows themselves, not opened to episodes."""
-    q = T.parsed_query(F.lit("b"))
+    q = search.parsed(spark, "b")
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("show_id"), F.col("p_name").alias("name"))
-    scored = rows.withColumn("score", T.rank_score(F.col("name"), q.title, q.tokens, F.lit(False)))
+    scored = rows.withColumn("score", q.score(F.col("name")))
     return scored.where("score >= 0.3").orderBy(F.desc("score"), "show_id").limit(25)
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import catalogue, event_log, matching, outcomes, services, titles
+from quarry.plans import catalogue, event_log, matching, outcomes, rules, services, titles
 
-_MODULES = (outcomes, event_log, catalogue, titles, matching, services)
+_MODULES = (outcomes, event_log, catalogue, titles, matching, services, rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

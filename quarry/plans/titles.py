@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import folds, logs, paths
+from quarry.operators import folds, logs, paths, search
 from quarry.plans.catalogue import PATHS_SQL, page_paths
 from quarry.sources import frame_index
 from quarry.sources.tables import table
@@ -47,8 +47,8 @@ def search_query(spark, sf_dir):
     WHEN contains(lower(p_name), 'th') AND contains(lower(p_name), 'in') THEN 0.5 WHEN contains(lower(p_name), 'th') OR contains(lower(p_name), 'in') THEN 0.2 ELSE 0.0 END
     * CASE WHEN p_size > 25 THEN 0.5 ELSE 1.0 END)::DOUBLE AS score FROM part""")
 def rank_score(spark, sf_dir):
-    q = T.parsed_query(F.lit("th in"))
-    score = T.rank_score(F.col("p_name"), q.title, q.tokens, F.col("p_size") > 25)
+    q = search.parsed(spark, "th in")
+    score = T.rank_score(F.col("p_name"), F.lit(q.title), list(q.tokens), F.col("p_size") > 25)
     return table(spark, sf_dir, "part").select("p_partkey", score.alias("score"))
 
 
