@@ -165,18 +165,22 @@ def preview_search(catalogue: DataFrame, raw: str, most: int = PREVIEWS) -> Data
     return _placed(both, most, True)
 
 
-def gathered(spark, sources: list[tuple[str, Callable[[], DataFrame]]]) -> DataFrame:
+def gathered(spark: SparkSession, sources: list[tuple[str, Callable[[], DataFrame]]], failures: list[tuple[str, str]] | None = None) -> DataFrame:
     """The hits of all sources by their order; a source that can't be opened is left out, the others still answer.
 
-    A source that fails while it is read fails the query, as Spark has begun to give out rows by then; sources that may
-    do so are written to a table of their own first.
+    ``failures`` gets the name of each such source and its error. A source that opens but lacks a column is a mistake
+    and raises. One that fails while it is read fails the query, as Spark has begun to give out rows by then; sources
+    that may do so are written to a table of their own first.
     """
     found = None
-    for place, (_, source) in enumerate(sources):
+    for place, (name, source) in enumerate(sources):
         try:
-            rows = source().withColumn("ord", F.lit(place)).select(*HIT)
-        except Exception:  # noqa: BLE001 - any source may fail in any way of its own
+            opened = source()
+        except Exception as e:  # noqa: BLE001 - any source may fail in any way of its own
+            if failures is not None:
+                failures.append((name, f"{type(e).__name__}: {e}"))
             continue
+        rows = opened.withColumn("ord", F.lit(place)).select(*HIT)
         found = rows if found is None else found.unionByName(rows)
     kinds = "server string, ord int, rank long, kind string, title string, year int, paths array<string>, child_count int"
     return spark.createDataFrame([], kinds) if found is None else found

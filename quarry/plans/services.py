@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarry.operators import hooks, logs, lookups, polls, scans
 from quarry.sources import inbox, paged, published
 from quarry.sources.tables import new_place, table, written
+from quarry.streaming import webhooks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -288,3 +289,21 @@ def incremental_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = polls.poll(items, at, "id", "added", 2_592_000)
     parts = [found.select(F.lit(k).alias("run"), "id", "added") for k, found in ((2, second), (3, third))]
     return first.unionByName(parts[0]).unionByName(parts[1])
+
+
+@query("t2_streamed_ttl", """WITH RECURSIVE e AS (SELECT user_id, event_type, epoch_us(ts) AS tm, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS i FROM events),
+    f(user_id, event_type, i, kept, n) AS (SELECT user_id, event_type, i, tm, 1 FROM e WHERE i = 1 UNION ALL
+        SELECT e.user_id, e.event_type, e.i, CASE WHEN e.tm - f.kept >= 86400000000 THEN e.tm ELSE f.kept END, f.n + (e.tm - f.kept >= 86400000000)::INT
+        FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.i = f.i + 1)
+    SELECT user_id, event_type, CAST(max(n) AS BIGINT) AS taken FROM f GROUP BY 1, 2""")
+def streamed_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as a stream, of which each key takes one event a day; what is taken is pushed to an outbox."""
+    out = new_place(spark, "taken")
+    spark.dataSource.register(published.OutboxSource)
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    folder = new_place(spark, "events-folder")
+    rows.write.parquet(folder)
+    taken = webhooks.accepted(spark.readStream.schema(rows.schema).parquet(folder), ["user_id", "event_type"], "ts", 86_400)
+    run = taken.writeStream.format("quarry_outbox").option("path", out).option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return published.pushed(spark, out, rows.schema).groupBy("user_id", "event_type").agg(F.count("*").alias("taken"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from threading import Thread
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.operators import logs
+from quarry.sources.published import Store
 
 
 def accepted(events: DataFrame, keys: list[str], at: str, ttl_seconds: int, lateness: str = "0 seconds") -> DataFrame:
@@ -52,53 +55,81 @@ def debounced(events: DataFrame, keys: list[str], at: str, item: str, delay: str
     )
 
 
-def _folders(spark: SparkSession, path: str, below: int) -> dict[int, list[tuple[int, str]]]:
+def _folders(store: Store, below: int) -> dict[int, list[tuple[int, str]]]:
     """For each bucket its (version, folder) under a version number, oldest first."""
-    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/bucket=*")
     found: dict[int, list[tuple[int, str]]] = {}
-    for status in pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []:
-        folder = status.getPath().toString()
-        version, bucket = (int(part.split("=")[1]) for part in folder.rsplit("/", 2)[1:])
-        if version < below:
-            found.setdefault(bucket, []).append((version, folder))
+    for name in store.names(""):
+        kind, _, version = name.partition("=")
+        if kind == "version" and int(version) < below and store.read(f"{name}/_whole.json") is not None:
+            for bucket in store.names(name):
+                if bucket.startswith("bucket="):
+                    found.setdefault(int(bucket[7:]), []).append((int(version), f"{name}/{bucket}"))
     return {bucket: sorted(versions) for bucket, versions in found.items()}
 
 
 def upserted(spark: SparkSession, path: str) -> DataFrame:
     """The table as ``upserting`` left it: the newest folder of every bucket."""
-    return spark.read.parquet(*[versions[-1][1] for versions in _folders(spark, path, 1 << 62).values()])
+    return spark.read.parquet(*[f"{path}/{versions[-1][1]}" for versions in _folders(Store(path), 1 << 62).values()])
 
 
 def upserting(path: str, key: str, keep: str, order: list[str], buckets: int = 64):
     """A ``foreachBatch`` function that folds each micro-batch into a table of last versions.
 
     The table is dealt into ``buckets`` by a hash of the key. A micro-batch reads and writes only the buckets it
-    touches, as folders ``version=<batch>/bucket=<n>``. A bucket keeps its last two versions, so a batch that is run
-    again starts from what it found the first time and writes the same again.
+    touches, as folders ``version=<batch>/bucket=<n>``, which count once a small file says that the version is whole. A
+    bucket keeps its last two versions, so a batch that is run again starts from what it found the first time and writes
+    the same again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        spark, store = batch.sparkSession, Store(path)
         bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
         dealt = batch.withColumn("bucket", bucket).persist()
         touched = {r.bucket for r in dealt.select("bucket").distinct().collect()}  # buckets numbers at most
         if touched:
-            before = _folders(spark, path, number)
-            held = [before[b][-1][1] for b in sorted(touched & set(before))]
+            before = _folders(store, number)
+            held = [f"{path}/{before[b][-1][1]}" for b in sorted(touched & set(before))]
             table = spark.read.parquet(*held) if held else batch.limit(0)
             rows = logs.upsert(table.select(*batch.columns), batch, key, keep, order)
             target = f"{path}/version={number}"
             rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-            files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            store.replace(f"version={number}/_whole.json", {"batch": number})
             for b in touched & set(before):
                 for _, folder in before[b][:-1]:
-                    files.delete(hadoop(folder), True)
+                    store.drop(folder)
         dealt.unpersist()
 
     return write
 
 
+class Progress(StreamingQueryListener):
+    """Calls back with what each micro-batch has done; a callback that returns False ends the query after that batch.
+
+    Spark gives listeners no right to stop a query from within, so the query is stopped by a thread of its own.
+    """
+
+    def __init__(self, callback: Callable[[dict], bool | None], name: str | None = None):
+        self.callback, self.name, self.ended = callback, name, []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if self.name is not None and p.name != self.name:
+            return
+        if self.callback({"query": p.name, "batch": p.batchId, "rows": p.numInputRows}) is False:
+            query = next((q for q in SparkSession.active().streams.active if q.id == str(p.id)), None)
+            if query is not None:
+                Thread(target=query.stop, daemon=True).start()
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.append((str(event.id), event.exception))
+
+
 def due(batches: DataFrame, now: str, at_once: DataFrame, keys: list[str]) -> DataFrame:
     """The pending batches that fire: those whose time has come, and those of the keys that are asked for at once."""
     asked = at_once.select(*keys).distinct().withColumn("asked", F.lit(True))
