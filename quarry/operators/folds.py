@@ -1,12 +1,14 @@
-"""Order-dependent merges: folds over each key's rows in order.
+"""Order-dependent merges, where a row's fate depends on what was kept before it.
 
-Where a row's fate depends on what was accepted before it, no aggregate or window will do. Rows of one key are gathered
-in order and folded by built-in higher-order functions; keys are dealt out like any grouping.
+Small groups are gathered in order and folded by built-in higher-order functions. Where a group may hold very many rows,
+the rule is put another way: in rounds of joins, or as groupings with the same outcome. See also ``chains``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.sources.tables import written
@@ -60,25 +62,17 @@ def disjoint_rows(df: DataFrame, group: str, order: str, places: str, rounds: in
 def merged_by_year(df: DataFrame, keys: list[str], order: str, year: str, item: str) -> DataFrame:
     """keys, year, items: rows of a key join the first bucket whose year is the same or unknown on either side.
 
-    A bucket without a year takes the first one it meets, which decides what joins it later.
+    A bucket without a year takes the first one it meets. So only a key's first bucket is ever without one, and what has
+    no year joins that: rows without a year go with the first year that the key has, every other year is by itself.
+    That takes two groupings, the first of which combines, where the rule's wording asks for a fold over a key's rows.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(year).cast("int").alias("year"), F.col(item).cast("long").alias("item"))))
-    start = F.from_json(F.lit("[]"), "array<struct<year:int,items:array<bigint>>>")
-
-    def place(buckets: Column, r: Column) -> Column:
-        fits = F.transform(buckets, lambda b: b.year.isNull() | r.year.isNull() | (b.year == r.year))
-        at = F.array_position(fits, F.lit(True))
-        joined = F.transform(
-            buckets,
-            lambda b, i: F.when(
-                i + 1 == at, F.struct(F.coalesce(b.year, r.year).alias("year"), F.concat(b["items"], F.array(r["item"])).alias("items"))
-            ).otherwise(b),
-        )
-        new = F.array(F.struct(r.year.alias("year"), F.array(r["item"]).alias("items")))
-        return F.when(at > 0, joined).otherwise(F.concat(buckets, new))
-
-    folded = df.groupBy(*keys).agg(F.aggregate(rows, start, place).alias("buckets"))
-    return folded.select(*keys, F.explode("buckets").alias("b")).select(*keys, "b.year", "b.items")
+    rows = df.select(*keys, F.col(order).alias("o"), F.col(year).cast("int").alias("_year"), F.col(item).cast("long").alias("item"))
+    turn = F.struct("o", "_year", "item")
+    first = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by("_year", F.when(F.col("_year").isNotNull(), turn)).alias("_first"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    placed = rows.join(first, same).withColumn("year", F.coalesce("_year", "_first"))
+    items = F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["item"])
+    return placed.groupBy(*keys, "year").agg(items.alias("items"))
 
 
 def enumerated_once(df: DataFrame, path: str, order: str, server: str, item: str, title: str) -> DataFrame:

@@ -205,12 +205,11 @@ def owners_and_hints(spark, sf_dir):
     b AS (SELECT page_id AS other, path AS other_path, regexp_extract(path, '[^/]*$') AS base FROM p)
     SELECT page_id, other FROM a JOIN b USING (base) WHERE path = other_path OR regexp_replace(path, '^/[^/]+', '') = regexp_replace(other_path, '^/[^/]+', '')""")
 def basename_then_path(spark, sf_dir):
-    """Narrowed on the file name, then confirmed on the sets of aliases."""
+    """By alias: a hot file name in many folders makes no pairs, only the same alias does."""
     rows = page_paths(spark, sf_dir)
-    aliases = F.array_union(F.array("path"), F.array(F.regexp_replace("path", "^/[^/]+", "")))
-    left = rows.select("page_id", paths.basename(F.col("path")).alias("base"), aliases.alias("mine"))
-    right = rows.select(F.col("page_id").alias("other"), paths.basename(F.col("path")).alias("base"), aliases.alias("theirs"))
-    return left.join(right, "base").where(F.arrays_overlap("mine", "theirs")).select("page_id", "other")
+    alias = F.explode(F.array_union(F.array("path"), F.array(F.regexp_replace("path", "^/[^/]+", "")))).alias("alias")
+    right = rows.select(F.col("page_id").alias("other"), alias)
+    return rows.select("page_id", alias).join(right, "alias").select("page_id", "other").distinct()
 
 
 @query("j5_first_candidate", f"""WITH {PATHS_SQL}, c AS (SELECT page_id, unnest([path, regexp_replace(path, '^/[^/]+', '/ththon.example.com')]) AS candidate, unnest([1, 2]) AS i FROM p),

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import chains
+from quarry.operators import chains, folds
 
 MOVES = {("a", "x"): "b", ("b", "y"): "c", ("c", "x"): "a", ("b", "z"): "end", ("c", "z"): "a"}
 
@@ -74,3 +74,27 @@ def test_ttl_of_one_key_with_very_many_events(spark):
 
 def test_ttl_of_nothing(spark):
     assert chains.ttl_taken(spark.createDataFrame([], "k string, t int"), ["k"], F.col("t"), 10).count() == 0
+
+
+def _buckets(rows):
+    """The rule as it is worded: in order, into the first bucket that fits."""
+    found = []
+    for year, item in rows:
+        for bucket in found:
+            if bucket[0] is None or year is None or bucket[0] == year:
+                bucket[0] = year if bucket[0] is None else bucket[0]
+                bucket[1].append(item)
+                break
+        else:
+            found.append([year, [item]])
+    return {(year, tuple(items)) for year, items in found}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_years_merge_as_worded(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice(["a", "b", "c", None]), n, rng.choice([None, None, 1999, 2001, 2005][: 2 + seed]), n) for n in range(60)] + [("none", 1, None, 7), ("none", 2, None, 8)]
+    table = spark.createDataFrame(rows, "k string, o int, y int, item long").repartition(3)
+    found = folds.merged_by_year(table, ["k"], "o", "y", "item").collect()
+    for key in {r[0] for r in rows}:
+        assert {(r.year, tuple(r["items"])) for r in found if r.k == key} == _buckets([(y, item) for k, _, y, item in rows if k == key])

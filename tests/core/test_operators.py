@@ -143,7 +143,7 @@ def test_normal_forms(spark):
         (T.composed(F.lit("/m/Cafe\u0301")) == F.lit("/m/Caf\u00e9")).alias("same"), T.title_prefix(F.lit("The \u00c9tude (1990) [x]")).alias("prefix"),
         paths.under(paths.nfc(F.lit("/m/Cafe\u0301/x.mkv")), "/m/Caf\u00e9").alias("below"),
     ).first()
-    assert row.same and row.prefix == "etude" and row.below
+    assert row.same and row.prefix == "Etude" and row.below
 
 
 def test_progress_line(spark):
