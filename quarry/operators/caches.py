@@ -73,6 +73,19 @@ def _begins(entries: int):
     return run
 
 
+def _started(lists: DataFrame, entries: int, group: int) -> DataFrame:
+    """number, list: the list that each of the numbered ones begins with; level by level, ``group`` lists at a time."""
+    rows = F.array_sort(F.collect_list(F.struct("number", "list"))).alias("rows")
+    groups = written(lists.groupBy(F.floor(F.col("number") / group).cast("long").alias("of")).agg(rows), "cache-groups")
+    if groups.count() > 1:
+        ends = groups.select(F.col("of").alias("number"), "rows").mapInArrow(_lists(entries), f"number long, list {_ENTRY}")
+        firsts = _started(written(ends, "cache-lists"), entries, group).select(F.col("number").alias("of"), F.col("list").alias("first"))
+        inside = groups.join(firsts, "of").select("first", "rows")
+    else:
+        inside = groups.select(F.array().cast(_ENTRY).alias("first"), "rows")
+    return inside.mapInArrow(_begins(entries), f"number long, list {_ENTRY}")
+
+
 def _is_held(stack: OrderedDict, key, version, entries: int, most: int, drift: float) -> bool:
     """Whether the key's entry is there and its source as it was: those used since, with itself, fit the cache."""
     if key not in stack:
@@ -132,14 +145,7 @@ def accesses(
     dealt = logs.placed(rows, turns, "place").drop(*turns).withColumn("number", F.floor((F.col("place") - 1) / block).cast("long"))
     blocks = written(dealt.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("place", "key", "at", "size", "version"))).alias("rows")), "cache-blocks")
     lists = written(blocks.select("number", "rows").mapInArrow(_lists(entries), f"number long, list {_ENTRY}"), "cache-lists")
-    of_group = F.floor(F.col("number") / group).cast("long")
-    in_order = F.array_sort(F.collect_list(F.struct("number", "list"))).alias("rows")
-    groups = written(lists.groupBy(of_group.alias("of")).agg(in_order), "cache-groups")
-    ends = groups.select(F.col("of").alias("number"), "rows").mapInArrow(_lists(entries), f"number long, list {_ENTRY}")
-    nothing = F.array().cast(_ENTRY)
-    starts = ends.agg(in_order).select(nothing.alias("first"), "rows").mapInArrow(_begins(entries), f"number long, list {_ENTRY}")
-    inside = groups.join(starts.select(F.col("number").alias("of"), F.col("list").alias("first")), "of").select("first", "rows")
-    begins = inside.mapInArrow(_begins(entries), f"number long, list {_ENTRY}")
+    begins = _started(lists, entries, group)
     judged = blocks.join(begins, "number").select("list", "rows").mapInArrow(_judged(entries, most_bytes, drift), "place long, key string, at long, held boolean, since long")
     found = written(judged.withColumn("number", F.floor((F.col("place") - 1) / block).cast("long")), "cache-judged")
     # An entry is made by a miss. Blocks in which a key has none yet look up the nearest before.

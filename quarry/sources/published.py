@@ -4,7 +4,8 @@
 Parquet files into a folder that nobody reads. When all have ended, the version's list of files is written beside them and
 one small file, ``_current.json``, is replaced by rename: who reads sees the old version or the new one, never parts. What a
 failed attempt left behind isn't in the list. If the job fails, or a task or the driver is lost, the old version stays.
-``keep`` versions stay (3), no older than ``max_age_days`` (0: any age); the current one stays in any case.
+``keep`` versions stay (3), no older than ``max_age_days`` (0: any age); the current one stays in any case. One writer at a
+time publishes a table.
 
 ``stream.writeStream.format("quarry_outbox")`` pushes events: each micro-batch is one published list of files by its number,
 and a batch that runs again finds its number taken and adds nothing.
@@ -117,6 +118,9 @@ class VersionWriter(DataSourceArrowWriter):
         store = Store(self.path)
         store.files.create_dir(store.at(self.folder), recursive=True)
         before = store.read("_current.json") or {"version": 0}
+        for lost in _marks(store):  # of a driver that was lost before it could make its version the current one
+            if lost["version"] > before["version"]:
+                store.drop(lost["folder"])
         mark = {"version": before["version"] + 1, "folder": self.folder, "at": time.time()} | _listed(store, self.folder, messages)
         store.replace(f"{self.folder}/_version.json", mark)
         store.replace("_current.json", mark)

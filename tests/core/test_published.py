@@ -59,6 +59,18 @@ def test_a_lost_driver_and_repeated_attempts(spark, tmp_path):
     assert _read(spark, at) == [1, 2] and [v["version"] for v in published.versions(at)] == [1, 2]
 
 
+def test_a_driver_lost_before_its_version_is_current(spark, tmp_path):
+    at = str(tmp_path / "t")
+    published.publish(spark.range(3), at)
+    lost = _writer(at)
+    part = lost.write(iter([_batch(8)]))
+    store = published.Store(at)
+    store.replace(f"{lost.folder}/_version.json", {"version": 2, "folder": lost.folder, "at": 0.0, "files": [part.name], "rows": 1})
+    assert _read(spark, at) == [0, 1, 2] and [v["version"] for v in published.versions(at)] == [1]
+    published.publish(spark.range(5), at)
+    assert _read(spark, at) == list(range(5)) and [(v["version"], v["rows"]) for v in published.versions(at)] == [(1, 3), (2, 5)]
+
+
 def test_old_versions_go_by_age(tmp_path, spark):
     at = str(tmp_path / "t")
     for n in (1, 2, 3):
