@@ -226,7 +226,7 @@ def first_candidate(spark, sf_dir):
 
 @query("j7_identity_match", """SELECT c_custkey, CASE WHEN count(s_suppkey) = 1 THEN any_value(s_suppkey) END AS server FROM customer LEFT JOIN supplier ON s_nationkey = c_nationkey AND s_acctbal > 5000 GROUP BY 1""")
 def identity_match(spark, sf_dir):
-    """Exactly one match or none; ambiguity is refused."""
+    """Exactly one match or none; ambiguity is refused."""
     servers = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").groupBy("s_nationkey").agg(
         F.when(F.count("*") == 1, F.first("s_suppkey")).alias("server")
     )
