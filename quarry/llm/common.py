@@ -39,12 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_place(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/tables/{what}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: later stages start from the files.
 
     A lost executor then costs no more than the tasks it ran, and a table with several readers is made once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{what}-{uuid.uuid4().hex}"
+    path = new_place(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

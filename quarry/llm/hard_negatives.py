@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import new_place, written
 
 #: Anchors of a block, rows that go down the tree together, share of rows from which all are rescored at once.
 BLOCK, CHUNK, MANY = 1024, 4096, 0.25
@@ -240,7 +240,10 @@ def mine(
     width, blocks = facts.width or 0, -(-facts.anchors // block)
     kind = np.float64 if (facts.largest or 0) ** 2 * max(width, 1) < _EXACT else object
     anchors = written(chosen.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(max(blocks, 1)))).repartition("block").sortWithinPartitions("block"), "anchors")
+    # Blocks are added to one table, so that the plan of the result doesn't grow with their number.
+    place = new_place(spark, "negatives")
     found = spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
+    found.write.parquet(place)
     for at in range(blocks):
         own = anchors.where(F.col("block") == at).orderBy("row").collect()
         if not own:
@@ -263,7 +266,7 @@ def mine(
         some = mined.join(F.broadcast(named), ["anchor", "nth"]).select(
             "anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")
         )
-        found = found.unionByName(written(some, "negatives"))
+        some.write.mode("append").parquet(place)
         sent.unpersist()
         both.unpersist()
-    return found
+    return spark.read.schema(found.schema).parquet(place)
