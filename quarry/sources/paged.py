@@ -4,7 +4,8 @@
 
 * ``_libraries/*.json``: one line a library with ``library, title, kind, enabled``;
 * ``_pages/*.json``: one line a page with ``library, page, rows, oldest, newest`` (numbers, of ``added``);
-* ``library=<id>/page=<n>/*.json``: the page's rows as JSON lines.
+* ``library=<id>/page=<n>/*.json``: the page's rows as JSON lines, or ``*.json.gz``; in order of
+  ``_place``, where rows have it, else as listed.
 
 A filter on ``library`` leaves the pages of other libraries unopened and is done with; bounds on ``added`` leave pages
 unopened whose rows are all outside, and are checked again on the rows that are read. Every page is retried on its own.
@@ -19,7 +20,7 @@ import json
 import time
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
@@ -54,7 +55,7 @@ class PagedReader(DataSourceReader):
         from pyarrow import fs
 
         for info in sorted(files.get_file_info(fs.FileSelector(folder, allow_not_found=True)), key=lambda i: i.path):
-            if info.is_file and info.path.endswith(".json"):
+            if info.is_file and info.path.endswith((".json", ".json.gz")):  # opened by what its name says
                 with files.open_input_stream(info.path) as f:
                     yield from (json.loads(line) for line in f.read().decode().splitlines() if line.strip())
 
@@ -106,7 +107,7 @@ class PagedReader(DataSourceReader):
                     with files.open_input_stream(place) as f:
                         return [json.loads(line) for line in f.read().decode().splitlines() if line.strip()]
                 files.get_file_info(place).type.name == "Directory" or self._missing(place)
-                return list(self._rows(files, place))
+                return sorted(self._rows(files, place), key=lambda row: row.get("_place", 0))
             except (OSError, ValueError):
                 if attempt + 1 == self.attempts:
                     raise
@@ -155,14 +156,21 @@ def libraries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("library string, title string, kind string, enabled boolean").json(f"{path}/_libraries")
 
 
-def publish(rows: DataFrame, known: DataFrame, path: str, page_rows: int = PAGE_ROWS) -> None:
+def publish(
+    rows: DataFrame, known: DataFrame, path: str, page_rows: int = PAGE_ROWS, shape: list[Column] | None = None, compression: str | None = None
+) -> None:
     """Writes a service: rows (library, added, place, ...) as pages of successive places, and its libraries.
 
-    ``place`` is a row's number, from 1, in an order in which a library's rows follow each other.
+    ``place`` is a row's number, from 1, in an order in which a library's rows follow each other; it is kept as ``_place``.
+    ``shape`` makes the item's fields from a row, after rows have been moved; without it they are the row's columns but
+    for ``place``. ``compression`` is none or gzip.
     """
     paged = rows.withColumn("page", F.floor((F.col("place") - 1) / page_rows).cast("long"))
-    sorted_rows = paged.repartition("library", "page").sortWithinPartitions("library", "page", "place").drop("place")
-    sorted_rows.write.partitionBy("library", "page").json(path, mode="overwrite")
+    sorted_rows = paged.repartition("library", "page").sortWithinPartitions("library", "page", "place")
+    own = [c for c in rows.columns if c not in ("library", "place")] if shape is None else shape
+    # The writer may sort by page alone once more, so a row says where it belongs.
+    shaped = sorted_rows.select("library", "page", *own, F.col("place").alias("_place"))
+    shaped.write.partitionBy("library", "page").json(path, mode="overwrite", compression=compression)
     pages = paged.groupBy("library", "page").agg(F.count("*").alias("rows"), F.min("added").alias("oldest"), F.max("added").alias("newest"))
     pages.write.json(f"{path}/_pages")
     known.write.json(f"{path}/_libraries")

@@ -108,3 +108,13 @@ def test_pages_without_metadata(spark, tmp_path):
     read = paged.items(spark, tmp_path.as_uri(), "id long, page int")
     assert sorted((r.id, r.page) for r in read.collect()) == [(n, n) for n in range(20)]
     assert read.where(F.col("id") > 15).count() == 4
+
+
+def test_shaped_pages_are_moved_narrow_and_read_in_order(spark, tmp_path):
+    """Fields are made after rows have been moved, pages may be compressed, and a page's rows keep their places."""
+    rows = spark.range(3_000).select(F.lit("a").alias("library"), (F.col("id") * 7 % 3_000).alias("added")).withColumn("place", 3_000 - F.col("added"))
+    known = spark.createDataFrame([("a", "Films", "movie", True)], "library string, title string, kind string, enabled boolean")
+    paged.publish(rows.repartition(3), known, str(tmp_path / "s"), shape=[F.concat(F.lit("t"), "added").alias("title"), F.col("added")], compression="gzip")
+    found = paged.items(spark, str(tmp_path / "s"), "library string, position long, title string, added long").where("library = 'a'").orderBy("position").collect()
+    assert [(r.title, r.added) for r in found] == [(f"t{k}", k) for k in range(2_999, -1, -1)]
+    assert len(list((tmp_path / "s" / "library=a").rglob("*.json.gz"))) == 3
