@@ -80,19 +80,21 @@ def upsert(table: DataFrame, changes: DataFrame, key: str, keep: str, order: lis
 def placed(df: DataFrame, order: list[Column], place: str) -> DataFrame:
     """The rows with their place, from 1, in one order over the whole table; null keys come last.
 
-    Rows are dealt by ranges of the order's keys, equal keys by a hash of the row, and that is written, since ranges are
-    drawn from a sample and another run would draw others. They are numbered within each range, and a range begins at
-    the count of the rows before it: one number a range, never all rows in one task.
+    Rows are dealt by ranges of the order's keys, equal keys by a hash of the row, numbered in each sorted range, and that
+    is written, since ranges are drawn from a sample and another run would draw others. A range begins at the count of
+    the rows before it: one number a range, never all rows in one task. The rows are shuffled once.
     """
     keys = {f"_k{i}": c for i, c in enumerate(order)}
     in_order = [F.col(k).asc_nulls_last() for k in keys] + [F.col("_tie")]
     plain = df.select("*", F.xxhash64(*df.columns).alias("_tie"), *[_value(c).alias(k) for k, c in keys.items()])
-    dealt = written(plain.repartitionByRange(*in_order).withColumn("_range", F.spark_partition_id()), "ranges")
-    within = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("_range").orderBy(*in_order)))
+    # The number holds the range's in its upper bits and the row's within the range in its lower 33.
+    dealt = plain.repartitionByRange(*in_order).sortWithinPartitions(*in_order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = written(dealt.select(*df.columns, "_at"), "ranges").withColumn("_range", F.shiftright("_at", 33))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("_range").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    both = within.join(F.broadcast(counts.select("_range", "_before")), "_range")
-    return both.select(*df.columns, (F.col("_before") + F.col("_nth")).cast("long").alias(place))
+    both = dealt.join(F.broadcast(counts.select("_range", "_before")), "_range")
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return both.select(*df.columns, (F.col("_before") + within + 1).cast("long").alias(place))
 
 
 def _value(column: Column | str) -> Column:

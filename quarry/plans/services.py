@@ -33,24 +33,34 @@ def query(name: str, sql: str | None):
 
 
 def service(spark: SparkSession, sf_dir: str) -> str:
-    """A service over the line items, newest first in each library, published in the shared folder; its path."""
-    rows = table(spark, sf_dir, "lineitem")
-    order = F.col("l_orderkey").cast("string")
-    base = F.concat(F.lit("/lib/"), F.col("l_returnflag"), F.lit("/"), order)
-    place = lambda letter, key: F.concat(base, F.lit(f"/{letter}"), (F.col(key) % 7).cast("string"))
-    items = rows.select(
+    """A service over the line items, newest first in each library, published in the shared folder; its path.
+
+    The table's own numbers are placed and moved; the items' texts are made from them where a page is written.
+    """
+    rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("library"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
-        F.concat(F.lit("t"), order).alias("title"),
-        F.concat(F.lit("Show "), order).alias("show"),
-        F.concat(F.lit("s01e0"), F.col("l_linenumber").cast("string")).alias("code"),
+        F.col("l_orderkey").alias("o"),
+        F.col("l_linenumber").alias("n"),
+        (F.col("l_partkey") % 7).alias("p"),
+        (F.col("l_suppkey") % 7).alias("s"),
         F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("added"),
-        F.array(place("p", "l_partkey"), place("s", "l_suppkey")).alias("locations"),
-        F.when(F.col("l_linenumber") % 5 > 0, base).alias("path"),
     )
+    number = F.col("o") * 10 + F.col("n")
+    order = F.col("o").cast("string")
+    base = F.concat(F.lit("/lib/"), F.col("library"), F.lit("/"), order)
+    place = lambda letter: F.concat(base, F.lit(f"/{letter}"), F.col(letter).cast("string"))
+    shape = [
+        number.alias("id"),
+        F.concat(F.lit("t"), order).alias("title"),
+        F.concat(F.lit("Show "), order).alias("show"),
+        F.concat(F.lit("s01e0"), F.col("n").cast("string")).alias("code"),
+        F.col("added"),
+        F.array(place("p"), place("s")).alias("locations"),
+        F.when(F.col("n") % 5 > 0, base).alias("path"),
+    ]
     at = new_place(spark, "service")
     known = spark.createDataFrame(LIBRARIES, "library string, title string, kind string, enabled boolean")
-    paged.publish(logs.placed(items, ["library", -F.col("added"), F.col("id")], "place"), known, at)
+    paged.publish(logs.placed(rows, ["library", -F.col("added"), number], "place"), known, at, shape=shape, compression="gzip")
     return at
 
 
