@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from quarry.sources.tables import written
 
@@ -29,19 +30,47 @@ def disjoint_first(df: DataFrame, group: str, item: str, order: str, places: str
     return df.groupBy(group).agg(fold.kept.alias("kept"))
 
 
-def disjoint_rows(df: DataFrame, group: str, order: str, places: str, rounds: int = 24) -> DataFrame:
+def _folded_rows(rows: DataFrame, group: str, order: str, places: str) -> DataFrame:
+    """As ``disjoint_rows``, group by group: for rows with ``_id`` of which no group has very many."""
+    own = rows.schema
+    place_list, row_list = own[places].dataType, ArrayType(own)
+    gathered = rows.groupBy(F.col(group).alias("_group")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
+    in_turn = F.array_sort(F.transform("rows", lambda r: F.struct(r[order].alias("order"), r["_id"].alias("id"), r.alias("row"))))
+    start = F.struct(F.array().cast(place_list).alias("seen"), F.array().cast(row_list).alias("kept"))
+
+    def step(state: Column, turn: Column) -> Column:
+        its = F.coalesce(turn["row"][places], F.array().cast(place_list))
+        more = F.struct(F.concat(state["seen"], its).alias("seen"), F.concat(state["kept"], F.array(turn["row"])).alias("kept"))
+        return F.when(F.coalesce(F.arrays_overlap(state["seen"], its), F.lit(False)), state).otherwise(more)
+
+    return gathered.select(F.inline(F.aggregate(in_turn, start, step)["kept"]))
+
+
+def disjoint_rows(df: DataFrame, group: str, order: str, places: str, rounds: int = 24, small: int = 1024) -> DataFrame:
     """The rows that stay: in order, a row goes if any of its places is one of an earlier row of its group that stays.
 
-    Done in rounds, none of which holds a group: a row that is the first of those left at all of its places stays, and
+    Groups of at most ``small`` rows are gathered and folded, which moves their rows once. What is in larger ones is done in
+    rounds, none of which holds a group: a row that is the first of those left at all of its places stays, and
     all rows with one of its places go. Rows of equal order are taken in the order in which they are written first. Rows
     without places stay; a null group is a group. Rows in no order in particular need few rounds; what long chains of
     rows leave after ``rounds`` is folded group by group, with all places of the rows that stayed as seen.
     """
     rows = written(df.withColumn("_id", F.monotonically_increasing_id()), "items")
+    sizes = rows.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("n"))
+    crowded = written(sizes.where(F.col("n") > small).select("_group"), "crowded")
+    if crowded.isEmpty():
+        return _folded_rows(rows, group, order, places).select(*df.columns)
+    same = F.col(group).eqNullSafe(F.col("_group"))
+    few = _folded_rows(rows.join(crowded, same, "left_anti"), group, order, places)
+    many = _rows_in_rounds(rows.join(crowded, same, "left_semi"), group, order, places, rounds)
+    return few.unionByName(many).select(*df.columns)
+
+
+def _rows_in_rounds(rows: DataFrame, group: str, order: str, places: str, rounds: int) -> DataFrame:
     turn = F.struct(F.col(order).alias("order"), F.col("_id").alias("id")).alias("turn")
     pairs = rows.select("_id", turn, F.explode(F.array_distinct(F.col(places))).alias("place"), F.col(group).alias("group"))
     left = written(pairs.select("_id", "turn", F.struct("group", "place").alias("at")), "places")
-    stayed = rows.where((F.size(F.coalesce(F.col(places), F.array().cast(df.schema[places].dataType))) == 0)).select("_id")
+    stayed = rows.where((F.size(F.coalesce(F.col(places), F.array().cast(rows.schema[places].dataType))) == 0)).select("_id")
     for _ in range(rounds):
         first = left.groupBy("at").agg(F.min("turn").alias("first"))
         firsts = left.join(first, "at").groupBy("_id").agg(F.bool_and(F.col("turn") == F.col("first")).alias("stays")).where("stays")
@@ -56,7 +85,7 @@ def disjoint_rows(df: DataFrame, group: str, order: str, places: str, rounds: in
         rest = left.groupBy("_id", "turn", F.col("at.group").alias("group")).agg(F.collect_list("at.place").alias("places"))
         folded = disjoint_first(rest.select("group", "_id", "turn", "places"), "group", "_id", "turn", "places")
         stayed = stayed.unionByName(folded.select(F.explode("kept").alias("_id")))
-    return rows.join(stayed, "_id", "left_semi").drop("_id")
+    return rows.join(stayed, "_id", "left_semi")
 
 
 def merged_by_year(df: DataFrame, keys: list[str], order: str, year: str, item: str) -> DataFrame:

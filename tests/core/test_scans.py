@@ -118,3 +118,21 @@ def test_shaped_pages_are_moved_narrow_and_read_in_order(spark, tmp_path):
     found = paged.items(spark, str(tmp_path / "s"), "library string, position long, title string, added long").where("library = 'a'").orderBy("position").collect()
     assert [(r.title, r.added) for r in found] == [(f"t{k}", k) for k in range(2_999, -1, -1)]
     assert len(list((tmp_path / "s" / "library=a").rglob("*.json.gz"))) == 3
+
+
+def test_overlap_of_small_groups_takes_no_rounds(spark, monkeypatch):
+    names, keep = [], folds.written
+    monkeypatch.setattr(folds, "written", lambda df, what: (names.append(what), keep(df, what))[1])
+    rows = [(k % 40, k, [f"p{k % 7}", f"p{k % 11}"], k) for k in range(400)] + [(50, 1, None, 900), (None, 1, ["x"], 901), (None, 2, ["x"], 902)]
+    table = spark.createDataFrame(rows, "g int, turn int, places array<string>, key int")
+    assert {r.key for r in folds.disjoint_rows(table, "g", "turn", "places").collect()} == _greedy(rows)
+    assert names == ["items", "crowded"]
+
+
+@pytest.mark.parametrize("small", [0, 20])
+def test_overlap_of_small_and_crowded_groups(spark, small):
+    rng = random.Random(4)
+    rows = [(rng.choice(["g", "h", None]), k, [f"p{rng.randrange(30)}" for _ in range(rng.choice([0, 1, 2, 3]))], k) for k in range(120)]
+    rows += [(f"s{k % 9}", k, [f"q{rng.randrange(4)}"], 1000 + k) for k in range(90)]
+    table = spark.createDataFrame(rows, "g string, turn int, places array<string>, key int").repartition(3)
+    assert {r.key for r in folds.disjoint_rows(table, "g", "turn", "places", small=small).collect()} == _greedy(rows)
