@@ -280,19 +280,18 @@ def _verified(bound: float):
 def links(nodes: DataFrame, bound: float = LINKED, crowd: int = CROWD) -> DataFrame:
     """Pairs (a, b) of nodes (node, fp) that share a band and are verified, enough to connect all that are connected.
 
-    A band's key that more than ``crowd`` fingerprints share is dealt out in parts by further slots; every part has
-    the key's first fingerprint too, so that what is near to it stays together.
+    A band's key that more than ``crowd`` fingerprints share is dealt out in parts of about half as many, and any two parts
+    meet in a group, so every pair of the key is compared where its links so far leave it open; the work on such a key
+    grows with the square of its fingerprints.
     """
     rows = nodes.select("node", "fp").mapInArrow(_bands, "key long, node long")
-    several = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "bands")
+    several = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bands")
     parts = F.when(F.col("n") <= crowd, F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / crowd)).cast("int")
-    met = rows.join(several.select("key", "hub", parts.alias("parts")), "key").join(nodes.select("node", "fp"), "node")
-    part = F.pmod(F.xxhash64(F.substring("fp", 1, 8)), F.col("parts"))
-    spread = met.select(
-        "key", "node", "fp",
-        F.explode(F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)).otherwise(F.array(part))).alias("part"),
-    )
-    groups = spread.groupBy("key", "part").agg(F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("members"))
+    met = rows.join(several.select("key", parts.alias("parts")), "key").join(nodes.select("node", "fp"), "node")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least(part, other).alias("a"), F.greatest(part, other).alias("b")))
+    spread = met.select("key", "node", "fp", F.explode(pairs).alias("parts"))
+    groups = spread.groupBy("key", "parts").agg(F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("members"))
     return groups.where(F.size("members") > 1).select("members").mapInArrow(_verified(bound), "a long, b long").distinct()
 
 

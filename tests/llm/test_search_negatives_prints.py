@@ -264,3 +264,23 @@ def test_one_document_follows_itself(spark):
 def test_edited_texts_are_told_from_next_ones(spark, sf):
     found = queries.op13_edit_fingerprints(spark, sf).collect()
     assert np.mean([r.near_edited > r.near_next for r in found]) > 0.98
+
+
+def test_crowded_bands_lose_no_link(spark):
+    """Prints near each other share every band with a lower one that is far from them, in keys beyond the crowd."""
+    e, rng = edit_fingerprints, np.random.default_rng(3)
+    base = rng.integers(0, 16, e.SLOTS)
+    near = [base.copy() for _ in range(6)]
+    for k, row in enumerate(near):
+        row[0] = (row[0] + k) % 16
+    far = rng.integers(0, 16, (e.BANDS, e.SLOTS))
+    for k in range(e.BANDS):
+        slots = np.random.default_rng((e._SEED, 7, k)).choice(e.SLOTS, e.WIDTH, replace=False)
+        far[k, slots] = base[slots]
+    packed = e.packed(np.array([*far, *near]).astype(np.uint8))
+    nodes = spark.createDataFrame([(k, bytearray(fp)) for k, fp in enumerate(packed)], "node long, fp binary")
+    found = {frozenset((r.a, r.b)) for r in e.links(nodes, crowd=2).collect()}
+    reached = {e.BANDS}
+    for _ in near:
+        reached |= {n for pair in found if pair & reached for n in pair}
+    assert reached == set(range(e.BANDS, e.BANDS + len(near)))
