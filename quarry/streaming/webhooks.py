@@ -5,45 +5,101 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from threading import Thread
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quarry.operators import logs
 from quarry.sources.published import Store
 
+#: Groups that the keys of a stream are dealt to.
+GROUPS = 1024
+_NEVER = np.iinfo(np.int64).min
 
-def accepted(events: DataFrame, keys: list[str], at: str, ttl_seconds: int, lateness: str = "0 seconds") -> DataFrame:
+def _next_free(codes: np.ndarray, times: np.ndarray, ttl: int) -> np.ndarray:
+    """For rows in the order of code and time, the place of the first one of the code whose time is ``ttl`` or more later.
+
+    Where there is none it is the place behind the code's rows.
+    """
+    known = np.unique(times)
+    width = len(known) + 1
+    return np.searchsorted(codes * width + np.searchsorted(known, times), codes * width + np.searchsorted(known, times + ttl))
+
+
+def _taken_rows(codes: np.ndarray, times: np.ndarray, last: np.ndarray, ttl: int) -> np.ndarray:
+    """Which rows, in the order of code and time, are taken; ``last`` by code is brought up to date, _NEVER if there was none."""
+    taken = np.zeros(len(codes), bool)
+    after = _next_free(codes, times, ttl)
+    at = np.flatnonzero(np.diff(codes, prepend=-1))  # the first row of each code
+    ends = np.append(at[1:], len(codes))
+    fresh = last[codes[at]] == _NEVER
+    for k in np.flatnonzero(~fresh):
+        at[k] += np.searchsorted(times[at[k] : ends[k]], last[codes[at[k]]] + ttl)
+    while len(at):  # each turn takes one more row of every code that has one
+        at, ends = at[at < ends], ends[at < ends]
+        taken[at] = True
+        last[codes[at]] = times[at]
+        at = after[at]
+    return taken
+
+
+def accepted(events: DataFrame, keys: list[str], at: str, ttl_seconds: int, lateness: str = "0 seconds", groups: int = GROUPS) -> DataFrame:
     """Events of which each key takes one per time to live, counted from the last that was taken.
 
     The state of a key is one time. It is dropped when the watermark, ``lateness`` behind the latest event, has passed
     that time and its time to live: by then any event still to come is taken anyway, however slowly or late the stream
-    is read. Events of a key are taken in time order within a micro-batch; a dropped event doesn't extend anything.
+    is read. Events of a key are taken in time order within a micro-batch; a dropped event doesn't extend anything. An
+    event without a time is taken where its key has neither a state nor another event.
+
+    Keys are dealt to ``groups`` groups, each of which keeps its keys' times in one state: a call of Python costs far more
+    than a key's work. Keys are told apart by their whole values. A checkpoint is bound to the number of groups.
     """
+    ttl = ttl_seconds * 1_000_000
+    columns = events.columns
+    # pandas makes floats of whole numbers among nulls: keys of a group are null alike, other longs go as text.
+    longs = [f.name for f in events.schema.fields if isinstance(f.dataType, LongType) and f.name not in keys]
+    exact = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
     def take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        names, last = map(list, state.get) if state.exists else ([], [])
+        kept = None
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches), ignore_index=True)
+            codes, found = pd.factorize(np.array(names + rows["_name"].tolist(), object))
+            last = np.array(last + [_NEVER] * (len(found) - len(names)), np.int64)
+            names, codes = found.tolist(), codes[len(codes) - len(rows) :].astype(np.int64)
+            missing = rows[at].isna().to_numpy()
+            times = rows[at].astype("datetime64[us]").astype("int64").to_numpy()
+            timed, untimed = np.flatnonzero(~missing), np.flatnonzero(missing)
+            timed = timed[np.lexsort((times[timed], codes[timed]))]
+            keep = timed[_taken_rows(codes[timed], times[timed], last, ttl)]
+            _, first = np.unique(codes[untimed], return_index=True)
+            first = untimed[first]
+            kept = rows.iloc[np.concatenate([keep, first[last[codes[first]] == _NEVER]])][columns]
+        last = np.array(last, np.int64)
+        ends = last // 1000 + ttl_seconds * 1000
+        open_ = np.flatnonzero(ends > state.getCurrentWatermarkMs())
+        if len(open_):
+            state.update(([names[k] for k in open_.tolist()], last[open_].tolist()))
+            state.setTimeoutTimestamp(int(ends[open_].min()))
+        elif state.exists:
             state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(at, kind="stable")
-        keep = []
-        for t in rows[at].astype("datetime64[us]").astype("int64"):
-            ok = last is None or t - last >= ttl_seconds * 1_000_000
-            keep.append(ok)
-            last = t if ok else last
-        state.update((last,))
-        # No timer may lie behind the watermark.
-        state.setTimeoutTimestamp(max(last // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield rows[keep]
-
-    return (
-        events.withWatermark(at, lateness)
-        .groupBy(*keys)
-        .applyInPandasWithState(take, events.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+        if kept is not None:
+            yield kept
+
+    dealt = events.withWatermark(at, lateness).select(
+        *(F.col(c).cast("string").alias(c) if c in longs else c for c in columns),
+        F.to_json(F.struct(*keys), exact).alias("_name"), F.concat(*(F.col(k).isNull().cast("string") for k in keys)).alias("_nulls"),
+    ).withColumn("_group", F.pmod(F.xxhash64("_name"), F.lit(groups)))
+    sent = StructType([StructField(f.name, StringType()) if f.name in longs else f for f in events.schema.fields])
+    taken = dealt.groupBy("_group", "_nulls").applyInPandasWithState(
+        take, sent, "names array<string>, last array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
+    return taken.select(*(F.col(c).cast("long").alias(c) if c in longs else c for c in columns))
 
 
 def debounced(events: DataFrame, keys: list[str], at: str, item: str, delay: str, lateness: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 from pathlib import Path
 
 import duckdb
@@ -308,6 +309,32 @@ def test_streamed_ttl_over_micro_batches(spark, tmp_path):
     assert sorted(r.n for r in spark.table("slow").collect()) == fold == [0, 100, 230, 1000, 1101]
 
 
+def test_streamed_ttl_keeps_its_keys_in_few_states(spark, tmp_path):
+    """Keys with nulls, numbers beyond 2^53, and equal texts of different columns; the states don't grow with the keys."""
+    day, pick, events = dt.datetime(2024, 1, 1), random.Random(3), []
+    names = [(None if i % 7 == 0 else 2**60 + i, [None, "", "a", "null"][i % 4]) for i in range(200)]
+    for name in names:
+        events += [(*name, day + dt.timedelta(seconds=pick.randrange(2000)), pick.choice([None, 2**61 + i])) for i in range(pick.randrange(1, 12))]
+    # the second batch lies behind the first, so nothing is late
+    cut = day + dt.timedelta(seconds=1000)
+    schema = "k long, name string, at timestamp, n long"
+    for part in ([e for e in events if e[2] < cut], [e for e in events if e[2] >= cut]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    taken = webhooks.accepted(stream, ["k", "name"], "at", 100, "1 hour", groups=4)
+    run = taken.writeStream.format("memory").queryName("few_states").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination(180)
+    last, want = {}, []
+    for e in sorted(events, key=lambda e: e[2]):
+        if e[:2] not in last or (e[2] - last[e[:2]]).total_seconds() >= 100:
+            last[e[:2]] = e[2]
+            want.append(e[:3])
+    found = [tuple(r) for r in spark.table("few_states").collect()]
+    assert sorted(map(str, (r[:3] for r in found))) == sorted(map(str, want))
+    assert set(found) <= set(events)
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]) <= 4 * 4
+
+
 def test_streamed_batches(spark, tmp_path):
     day = dt.datetime(2024, 1, 1)
     times = [(0, "b"), (40, "a"), (90, "b"), (300, "c"), (9000, "z")]
