@@ -19,7 +19,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word Jaccard similarity of 0.8 or more stays."""
+    """One document of each group linked by five-word Jaccard similarity of 0.8 or more stays; SimHash finds the first links."""
     return near_dedup.keep_one(docs, shingle=5)
 
 

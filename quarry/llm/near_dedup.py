@@ -1,9 +1,11 @@
-"""Near-duplicate documents: candidates from MinHash bands, links by the exact Jaccard similarity of their word runs.
-
-Documents of one set of shingles form a class. Each class has 24 bands of 5 minima; two classes of similarity 0.8 share a
-band with probability 0.9999. In each band all are compared with the least member first; pairs of a band that this leaves
-in different components are compared each. So a group of copies costs a few comparisons a member, and what is linked is
-what comparing all pairs of all bands would link.
+"""Near-duplicate documents: candidates from SimHash and MinHash bands, links by the exact Jaccard similarity of word runs.
+
+Documents of one set of shingles form a class. SimHash goes first: ball hashing finds the classes whose fingerprints are
+within 4 bits of each other. Most pairs of similarity 0.8 differ in more bits than any ball can hold, so each class also has
+24 bands of 5 minima; two classes of similarity 0.8 share a band with probability 0.9999. In each band all are compared with
+the least member, together with what SimHash found; pairs of a band that this leaves in different components are compared
+each. So a group of copies costs a few comparisons a member, and what is linked is what comparing all pairs of all bands and
+all near fingerprints would link.
 """
 
 from __future__ import annotations
@@ -18,9 +20,12 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import written
 from quarry.llm.components import connected
+from quarry.llm import simhash
 from quarry.llm.simhash import SEED, first_of_groups, shingle_hashes
 
 BANDS, ROWS, _BLOCK = 24, 5, 4096
+#: Bits in which fingerprints of candidates differ at most; fingerprints of a half-bucket before it takes the plain form.
+RADIUS, LARGEST = 4, 2048
 _TURNS = np.random.default_rng(11).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
 
 
@@ -41,24 +46,25 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 
 def classes(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, mark (a hash of the text), node (a hash of the text's set of shingles), n (its size), bands."""
+    """doc_id, mark (a hash of the text), node (a hash of the text's set of shingles), n (its size), fp (the set's fingerprint), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, bands = [], [], []
+            nodes, sizes, prints, bands = [], [], [], []
             for text in batch.column(2):
                 found = shingle_set(text.as_py(), size)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
+                prints.append(simhash.fingerprint(found))
                 bands.append(band_keys(found))
             columns = [
                 batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
+                pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "n", "fp", "bands"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    return rows.mapInArrow(run, "doc_id long, mark long, node long, n long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, mark long, node long, n long, fp long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -88,30 +94,49 @@ def _sized(pairs: DataFrame) -> DataFrame:
     return rows.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
-def links(docs: DataFrame, marked: DataFrame, size: int) -> DataFrame:
-    """Similar pairs (a, b) of classes that connect all that pairs within the bands connect."""
-    nodes = marked.groupBy("node").agg(F.first("mark").alias("mark"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    rows = written(nodes.select("node", "n", "mark", F.explode("bands").alias("key")), "bands")
+def near_prints(nodes: DataFrame) -> DataFrame:
+    """Pairs (p, n, q, m) of classes and their sizes that connect what fingerprints within RADIUS bits connect."""
+    groups = written(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("low"), F.max("node").alias("high")), "fingerprint-groups")
+    pairs = simhash.links(groups.select("fp"), RADIUS, LARGEST)
+    left = groups.select(F.col("fp").alias("a"), F.col("low").alias("x"))
+    right = groups.select(F.col("fp").alias("b"), F.col("low").alias("y"))
+    near = pairs.join(left, "a").join(right, "b").selectExpr("x.node AS p", "x.n", "y.node AS q", "y.n AS m")
+    alike = nodes.join(groups.where("low.node < high").select("fp", "low"), "fp").selectExpr("node AS p", "n", "low.node AS q", "low.n AS m")
+    return near.unionByName(alike)
+
+
+def rooted(docs: DataFrame, marked: DataFrame, size: int) -> DataFrame:
+    """at, root (the least class of its component) for every class that is similar to another."""
+    nodes = marked.groupBy("node").agg(*(F.first(c).alias(c) for c in ("mark", "n", "fp", "bands")))
+    nodes = written(nodes, "nodes")
+    rows = nodes.select("node", "n", "mark", F.explode("bands").alias("key"))
     least = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max("node").alias("high")).where("low.node < high")
     shared = written(rows.join(least.select("key", "low"), "key"), "shared-bands")
-    sets = written(sets_of(docs, shared.select("mark", "node").distinct(), size), "shingle-sets")
-    first = written(_sized(shared.selectExpr("node AS p", "n", "low.node AS q", "low.n AS m")), "first-pairs")
+    prints = near_prints(nodes)
+    first = written(_sized(prints.unionByName(shared.selectExpr("node AS p", "n", "low.node AS q", "low.n AS m"))), "first-pairs")
+    # Fingerprints may be near where no band is shared.
+    wanted = shared.select("node").unionByName(first.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    sets = written(sets_of(docs, nodes.select("mark", "node").join(wanted, "node"), size), "shingle-sets")
     linked = written(similar(first, sets), "first-links")
 
     roots = written(connected(linked), "first-roots").withColumnRenamed("node", "at")
-    rooted = shared.join(roots, F.col("node") == F.col("at"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    parted = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
-    rooted = written(rooted.join(parted.select("key"), "key"), "parted-bands")
-    other = rooted.selectExpr("key", "node AS q", "n AS m", "root AS other")
-    rest = rooted.withColumnRenamed("node", "p").join(other, "key").where("root < other")
-    rest = _sized(rest).join(first, ["a", "b"], "left_anti")
-    return linked.unionByName(similar(written(rest, "further-pairs"), sets))
+    placed = shared.join(roots, F.col("node") == F.col("at"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    parted = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    placed = written(placed.join(parted.select("key"), "key"), "parted-bands")
+    other = placed.selectExpr("key", "node AS q", "n AS m", "root AS other")
+    rest = placed.withColumnRenamed("node", "p").join(other, "key").where("root < other")
+    rest = written(_sized(rest).join(first, ["a", "b"], "left_anti"), "further-pairs")
+    more = written(similar(rest, sets), "further-links")
+    if more.isEmpty():
+        return roots
+    stars = roots.selectExpr("at AS a", "root AS b")
+    return written(connected(stars.unionByName(more)), "roots").withColumnRenamed("node", "at")
 
 
 def grouped(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, mark, root (the least class of its component) for every document."""
     marked = written(classes(docs, size), "classes")
-    roots = written(connected(links(docs, marked, size)), "roots").withColumnRenamed("node", "at")
+    roots = rooted(docs, marked, size)
     return marked.join(roots, marked["node"] == roots["at"], "left").select("doc_id", "mark", F.coalesce("root", "node").alias("root"))
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 
@@ -53,3 +55,20 @@ def test_documents_of_a_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
     assert found == kept_by_hand([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_simhash_finds_links_where_no_band_is_shared(spark, monkeypatch):
+    """Without a band in common, near fingerprints are candidates and the exact similarity decides."""
+    from quarry.llm import near_dedup, simhash
+
+    pick, rows = random.Random(8), []
+    for _ in range(12):
+        own = [f"w{pick.randrange(10**6)}" for _ in range(400)]
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate((own, changed(own, 1, pick), own[:150]))]
+    fps = [simhash.fingerprint(near_dedup.shingle_set(t, 5)) for _, t in rows]
+    near = [k for k in range(0, len(rows), 3) if (fps[k] ^ fps[k + 1]).bit_count() <= 4]
+    assert len(near) > 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "classes", lambda docs, size, made=near_dedup.classes: made(docs, size).withColumn("bands", F.array().cast("array<long>")))
+    found = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert all(k in found and k + 1 not in found and k + 2 in found for k in near)
