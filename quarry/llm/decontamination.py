@@ -29,8 +29,8 @@ FEATURES, RANK, HALF, ANSWER, NEAR = 1 << 14, 96, 24, 6, 0.2
 #: Shares of an item found in order that make a match: alone, or together with the answer's.
 WHOLE, PART, ANSWERED = 0.8, 0.6, 0.8
 _SLICE, _GROUP_WORDS, _PLACES, ITEM_BLOCK = 1024, 100_000, 8192, 500
-#: Documents whose passages the space is fitted on, at most.
-SAMPLE = 4_000
+#: Passages whose words are added up at once; occurrences from which a feature is added up by a product; features in a row.
+_FIT_PLACES, _OFTEN, _FEATURE_BLOCK = 2048, 16, 256
 #: Items and words of items that go to the tasks together, and so through the corpus in one pass.
 PASS_ITEMS, PASS_WORDS = 10_000, 2_000_000
 _PUNCTUATION = bytes(32 if not (48 <= c < 58 or 97 <= c < 123 or c >= 128) else c for c in range(256))
@@ -100,73 +100,123 @@ def _text_groups(column: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
             held, size, begin = [], 0, i + 1
 
 
-def word_weights(docs: DataFrame) -> np.ndarray:
-    """Inverse frequency of each feature over all documents' words: FEATURES numbers, whatever the corpus."""
+def feature_rows(docs: DataFrame) -> DataFrame:
+    """ids (two bytes for each word's feature) and sizes (words of each text, four bytes) of some texts together, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(FEATURES, np.int64)
         for batch in batches:
             for _, texts in _text_groups(batch.column(0)):
-                for own in texts:
-                    total += np.bincount(features(own), minlength=FEATURES) if len(own) > 2000 else 0
-                short = [w for own in texts if len(own) <= 2000 for w in own]
-                total += np.bincount(features(short), minlength=FEATURES)
+                ids = features([w for own in texts for w in own]).astype("<u2").tobytes()
+                sizes = np.array([len(own) for own in texts], "<i4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([sizes], pa.binary())], names=["ids", "sizes"])
+
+    return written(docs.select("text").mapInArrow(run, "ids binary, sizes binary"), "features")
+
+
+def _feature_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[int]]]:
+    for batch in batches:
+        for ids, sizes in zip(batch.column(0), batch.column(1)):
+            if len(ids.as_buffer()):
+                yield np.frombuffer(ids.as_buffer(), "<u2"), np.frombuffer(sizes.as_buffer(), "<i4").tolist()
+
+
+def word_weights(rows: DataFrame) -> np.ndarray:
+    """Inverse frequency of each feature over all words of ``feature_rows``: FEATURES numbers, whatever the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FEATURES, np.int64)
+        for ids, _ in _feature_texts(batches):
+            total += np.bincount(ids, minlength=FEATURES)
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(total[on], pa.int64())], names=["f", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
+    counted = rows.mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(FEATURES)
     for r in counted:
         counts[r.f] = r.n
     return np.log1p(counts.sum() / (1 + counts)).astype(np.float32)
 
 
-def latent_space(docs: DataFrame, weights: np.ndarray, sample_docs: int = SAMPLE, sample_chars: int = 20_000) -> np.ndarray:
+def sampled(docs: DataFrame, sample_docs: int) -> DataFrame:
+    """At most so many documents, those whose hashes are lowest."""
+    rows = docs.where(F.length("text") > 0).select("text", F.xxhash64("doc_id", "text").alias("h"))
+    last = rows.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    return rows.where(F.col("h") <= F.lit(last).cast("long")).dropDuplicates(["h"]).select("text")
+
+
+def _add_words(total: np.ndarray, ids: np.ndarray, half: np.ndarray, halves: np.ndarray) -> None:
+    """Adds to each feature's row the rows of the halves in which its words stand."""
+    order = np.argsort(ids, kind="stable")
+    ids, half = ids[order].astype(np.int64), half[order]
+    first = np.flatnonzero(np.diff(ids, prepend=-1))
+    times = np.diff(first, append=len(ids))
+    often = np.flatnonzero(times >= _OFTEN)
+    if len(often):
+        column = np.repeat(np.arange(len(often)), times[often])
+        on = np.repeat(times >= _OFTEN, times)
+        counts = np.bincount(half[on] * len(often) + column, minlength=len(halves) * len(often)).reshape(len(halves), -1)
+        total[ids[first[often]]] += counts.astype(np.float32).T @ halves
+    first, times = first[times < _OFTEN], times[times < _OFTEN]
+    for k in range(_OFTEN - 1):  # the k-th word of each feature: no feature comes twice
+        at = first[times > k] + k
+        if not len(at):
+            break
+        total[ids[at]] += halves[half[at]]
+
+
+def latent_space(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
     """FEATURES x RANK: the weighted features' directions, each divided by its singular value.
 
-    The space is fitted on the passages of at most ``sample_docs`` documents, those whose hashes are lowest among texts
-    of at most ``sample_chars`` characters; every document is searched in it.
+    The space is fitted on all passages of ``feature_rows``. Tasks add up their own; their sums are added by blocks of features.
     """
-    tasks = 8
-    rows = docs.where(F.length("text").between(1, sample_chars)).select("text", F.xxhash64("doc_id", "text").alias("h"))
-    # The hashes are picked without their texts, so no more than the sample's texts ever moves.
-    last = rows.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    sample = rows.where(F.col("h") <= F.lit(last).cast("long")).dropDuplicates(["h"]).repartition(tasks, "h").select("text")
-    sample = written(sample, "latent-sample")  # two products read it
-    context = docs.sparkSession.sparkContext
+    context = rows.sparkSession.sparkContext
 
-    def product(basis: np.ndarray, gram: bool) -> np.ndarray:
-        """The sum over tasks of A'(A basis), or of (A basis)'(A basis), for the sample's passages A."""
+    def product(basis: np.ndarray, gram: bool) -> np.ndarray | None:
+        """The sum over tasks of A'(A basis), or of (A basis)'(A basis), for the passages A; None where there are no words."""
         sent = context.broadcast((basis * weights[:, None]).astype(np.float32))
+        rank = basis.shape[1]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            space = sent.value
-            total = np.zeros((space.shape[1] if gram else FEATURES, space.shape[1]), np.float64)
-            for batch in batches:
-                for _, texts in _text_groups(batch.column(0)):
-                    ids = features([w for own in texts for w in own])
-                    starts, first, last = passages([len(t) for t in texts])
-                    vectors = placed(ids, starts, first, last, space)
+            space, seen = sent.value, False
+            total = np.zeros((rank if gram else FEATURES, rank), np.float64 if gram else np.float32)
+            for ids, sizes in _feature_texts(batches):
+                seen = True
+                starts, first, last = passages(sizes)
+                for at in range(0, len(first), _FIT_PLACES):
+                    one, two = first[at : at + _FIT_PLACES], last[at : at + _FIT_PLACES]
+                    vectors = placed(ids, starts, one, two, space)
                     if gram:
-                        total += vectors.T.astype(np.float64) @ vectors
+                        total += vectors.T @ vectors
                         continue
-                    halves = np.zeros((len(starts), space.shape[1]), np.float32)
-                    np.add.at(halves, first, vectors)
-                    np.add.at(halves, last[last > first], vectors[last > first])
-                    half = np.searchsorted(starts, np.arange(len(ids)), "right") - 1
-                    order = np.argsort(ids, kind="stable")
-                    own, at = np.unique(ids[order], return_index=True)
-                    if len(own):
-                        total[own] += np.add.reduceat(halves[half[order]], at, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part"])
-
-        parts = sample.mapInArrow(run, "part binary").toLocalIterator()
-        total = sum(np.frombuffer(r.part, np.float32).astype(np.float64) for r in parts)
-        return np.asarray(total).reshape(-1, basis.shape[1]) if np.ndim(total) else np.zeros((1, basis.shape[1]))
+                    low, high = one[0], two[-1] + 1
+                    halves = np.zeros((high - low, rank), np.float32)
+                    halves[one - low] += vectors  # each half is the first of one passage at most, and the last of one
+                    halves[two[two > one] - low] += vectors[two > one]
+                    ends = np.append(starts[low + 1 : high], starts[high] if high < len(starts) else len(ids))
+                    half = np.repeat(np.arange(high - low), ends - starts[low:high])
+                    _add_words(total, ids[starts[low] : ends[-1]], half, halves)
+            if seen:
+                parts = [total[k : k + _FEATURE_BLOCK].astype(np.float32).tobytes() for k in range(0, len(total), _FEATURE_BLOCK)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["block", "part"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for block, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    part = np.frombuffer(part.as_buffer(), np.float32)
+                    sums[block] = sums.get(block, 0) + part.astype(np.float64)
+            found = [v.astype(np.float32).tobytes() for v in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(found, pa.binary())], names=["block", "part"])
+
+        schema = "block int, part binary"
+        found = {r.block: r.part for r in rows.mapInArrow(run, schema).repartition("block").mapInArrow(add, schema).toLocalIterator()}
+        if not found:
+            return None
+        return np.concatenate([np.frombuffer(found[k], np.float32) for k in sorted(found)]).astype(np.float64).reshape(-1, rank)
 
     start = np.random.default_rng(7).normal(size=(FEATURES, RANK)).astype(np.float32)
     spread = product(start, False)
-    if len(spread) != FEATURES:
+    if spread is None:
         return start * weights[:, None]
     basis, _ = np.linalg.qr(spread * weights[:, None])
     squares, turn = np.linalg.eigh(product(basis, True))
@@ -355,15 +405,19 @@ def _search(sent, emit):
     return run
 
 
-def fitted(docs: DataFrame, benchmark: DataFrame, sample_docs: int = SAMPLE) -> list:
-    """The latent space of the documents with the benchmark's item blocks, one broadcast for each pass."""
-    weights = word_weights(docs)
-    space = latent_space(docs, weights, sample_docs)
+def fitted(docs: DataFrame, benchmark: DataFrame, sample_docs: int | None = None) -> list:
+    """The latent space of the documents with the benchmark's item blocks, one broadcast for each pass.
+
+    The space is fitted on all documents, or on ``sample_docs`` of them where a number is given.
+    """
+    rows = feature_rows(docs)
+    weights = word_weights(rows)
+    space = latent_space(rows if sample_docs is None else feature_rows(sampled(docs, sample_docs)), weights)
     context = docs.sparkSession.sparkContext
     return [context.broadcast((space, blocks)) for blocks in item_passes(benchmark, space, weights)]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, sample_docs: int = SAMPLE) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, sample_docs: int | None = None) -> DataFrame:
     """One row for each document and item found in it: doc_id, item_id, lcs, answer, first_word, n_words.
 
     ``lcs`` is the share of the item's words found in order in the region of ``n_words`` words from ``first_word`` on,

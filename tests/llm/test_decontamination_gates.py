@@ -74,3 +74,30 @@ def test_a_very_long_text_and_several_passes(spark, monkeypatch):
     monkeypatch.setattr(D, "PASS_ITEMS", 10)
     assert {(r[0], r[1]) for r in D.matches(docs, bench).collect()} == {(r[0], r[1]) for r in whole}
     assert [r.doc_id for r in D.remove_contaminated(docs, bench).orderBy("doc_id").collect()] == [2, 3]
+
+
+def test_every_document_shapes_the_space(spark, monkeypatch):
+    """The sums over tasks are those of the passages of all documents, very long and repeated ones as well."""
+    import numpy as np
+
+    texts = [" ".join(f"w{i * k % 911}" for i in range(n)) for k, n in enumerate((0, 5, 30, 100, 9000, 70_000, 100, 700), 3)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts[2:4] + [None])], "doc_id long, text string").repartition(3)
+    rows = D.feature_rows(docs)
+    weights = D.word_weights(rows)
+    passages = []
+    for text in texts + texts[2:4]:
+        ids = D.features(D.words(text))
+        halves = [np.bincount(ids[i : i + D.HALF], minlength=D.FEATURES) for i in range(0, len(ids), D.HALF)]
+        passages += halves if len(halves) == 1 else [a + b for a, b in zip(halves, halves[1:])]
+    counts = np.array(passages, np.float32)
+    total = np.array([np.bincount(D.features(D.words(t)), minlength=D.FEATURES) for t in texts + texts[2:4]]).sum(axis=0)
+    assert np.allclose(weights, np.log1p(total.sum() / (1 + total)), rtol=1e-5)
+    own = counts * weights
+    start = np.random.default_rng(7).normal(size=(D.FEATURES, D.RANK)).astype(np.float32)
+    basis, _ = np.linalg.qr((own.T @ (own @ start)).astype(np.float64))
+    squares = np.linalg.eigvalsh((own @ basis).T @ (own @ basis))
+    space = D.latent_space(rows, weights)
+    vectors = counts @ space  # directions of length one, where the singular value isn't negligible
+    lengths = np.sort(np.square(vectors).sum(axis=0))
+    strong = int((squares > squares.max() * 1e-4).sum())
+    assert strong > 10 and np.allclose(lengths[-strong:], 1, atol=0.02)
