@@ -30,7 +30,7 @@ FEATURES, RANK, HALF, ANSWER, NEAR = 1 << 14, 96, 24, 6, 0.2
 WHOLE, PART, ANSWERED = 0.8, 0.6, 0.8
 _SLICE, _GROUP_WORDS, _PLACES, ITEM_BLOCK = 1024, 100_000, 8192, 500
 #: Passages whose words are added up at once; occurrences from which a feature is added up by a product; features in a row.
-_FIT_PLACES, _OFTEN, _FEATURE_BLOCK = 2048, 16, 256
+_FIT_PLACES, _OFTEN, _FEATURE_BLOCK = 2048, 80, 256
 #: Items and words of items that go to the tasks together, and so through the corpus in one pass.
 PASS_ITEMS, PASS_WORDS = 10_000, 2_000_000
 _PUNCTUATION = bytes(32 if not (48 <= c < 58 or 97 <= c < 123 or c >= 128) else c for c in range(256))
@@ -181,10 +181,11 @@ def latent_space(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
             total = np.zeros((rank if gram else FEATURES, rank), np.float64 if gram else np.float32)
             for ids, sizes in _feature_texts(batches):
                 seen = True
+                wide = ids.astype(np.int64)
                 starts, first, last = passages(sizes)
                 for at in range(0, len(first), _FIT_PLACES):
                     one, two = first[at : at + _FIT_PLACES], last[at : at + _FIT_PLACES]
-                    vectors = placed(ids, starts, one, two, space)
+                    vectors = placed(wide, starts, one, two, space)
                     if gram:
                         total += vectors.T @ vectors
                         continue
