@@ -138,6 +138,7 @@ def _piece_rows(tokenizer: str, capacity: int, end_id: int):
                     [pa.array(x, k) for x, k in zip(found, kinds)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        _encoder(tokenizer).known.clear()  # Spark keeps the worker for other work, which has use for the memory
 
     return run
 
