@@ -96,3 +96,21 @@ def test_hard_texts_and_extra_columns(spark):
     rows = line_dedup.deduplicate(clashing)
     assert rows.columns == clashing.columns and rows.count() == len(HARD)
     assert line_dedup.deduplicate(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("small", [2, 16, 128])
+def test_rare_words_need_no_count_of_their_groups(spark, monkeypatch, small):
+    """Lines meet at a word of few lines as they are: such keys don't reach the groups that are numbered and counted."""
+    monkeypatch.setattr(line_dedup, "SMALL", small)
+    taken, groups = [], line_dedup.keyed_groups
+    monkeypatch.setattr(line_dedup, "keyed_groups", lambda sigs: taken.append(sigs) or groups(sigs))
+    rows = []
+    for i in range(40):
+        own = [f"f{i // 4}w{k}" for k in range(15)] + [f"f{i // 20}c{k}" for k in range(5)]
+        own[i % 4 * 3] = f"x{i}"
+        rows.append((i, " ".join(own[i % 2 :]) + "\n" + " ".join(own[i % 3 : 12])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(docs) == by_hand(rows)
+    left = {r.key for r in taken[0].where("n >= 4").collect()}
+    assert all(not 2 < key >> 56 <= line_dedup.small_code() for key in left if key >= 0)
+    assert bool(left) == (small == 2)
