@@ -12,13 +12,13 @@ moves and a very long text takes no more memory than its own words do.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -43,7 +43,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 def hashes(own: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh32_intdigest, own), np.uint32, len(own))
+    return np.fromiter(map(zlib.crc32, own), np.uint32, len(own))
 
 
 def features(own: list[bytes]) -> np.ndarray:
@@ -304,9 +304,13 @@ def made_items(ids: list[int], own: list[list[bytes]], weights: np.ndarray, spac
     )
 
 
-def rare_counts(found: np.ndarray, starts: np.ndarray, items: Items) -> np.ndarray:
-    """Rows of running totals over the half passages: how often rare words of each item came before."""
-    total = np.zeros((len(starts) + 1, len(items.ids)), np.int32)
+def rare_counts(found: np.ndarray, starts: np.ndarray, items: Items, kind: type = np.int64) -> np.ndarray:
+    """Rows of running totals over the half passages: how often rare words of each item came before.
+
+    Totals that ``kind`` can't hold go round. The difference of two rows is right as long as it fits ``kind``.
+    """
+    shape = (len(starts) + 1, len(items.ids))
+    total = np.zeros(shape, kind)
     at = np.flatnonzero(items.listed[found & 0xFFFF])
     k = np.searchsorted(items.rare, found[at])
     k[k == len(items.rare)] = 0
@@ -317,8 +321,8 @@ def rare_counts(found: np.ndarray, starts: np.ndarray, items: Items) -> np.ndarr
         many = items.first[k + 1] - items.first[k]
         ends = np.cumsum(many)
         owner = items.owner[np.repeat(items.first[k] - ends + many, many) + np.arange(ends[-1])]
-        np.add.at(total.reshape(-1), np.repeat(half, many) * len(items.ids) + owner, 1)
-    return np.cumsum(total, axis=0)
+        total += np.bincount(np.repeat(half, many) * len(items.ids) + owner, minlength=total.size).reshape(shape).astype(kind)
+    return np.cumsum(total, axis=0, dtype=kind, out=total)
 
 
 def item_passes(benchmark: DataFrame, space: np.ndarray, weights: np.ndarray) -> Iterator[list[Items]]:
@@ -362,7 +366,7 @@ def found_in(texts: list[list[bytes]], blocks: list[Items], space: np.ndarray) -
     for at in range(0, len(first), _PLACES):
         part = slice(at, at + _PLACES)
         own = placed(ids, starts, first[part], last[part], space)
-        blind = ~own.any(axis=1)[:, None]
+        blind = ~own.any(axis=1)
         own, spots = unit(own), starts[first[part]]
         for items, known in zip(blocks, best):
             _compare(texts, found, begin, starts, first[part], last[part], spots, own, blind, items, known)
@@ -375,11 +379,18 @@ def _compare(texts, found, begin, starts, first, last, spots, own, blind, items:
     # Only the halves that the passages can reach are counted.
     base, top = max(int(first[0]) - reach, 0), min(int(last[-1]) + 1 + reach, len(starts))
     end = starts[top] if top < len(starts) else len(found)
-    totals = rare_counts(found[starts[base] : end], starts[base:top] - starts[base], items)
     low, high = np.maximum(first - reach, 0) - base, np.minimum(last + 1 + reach, len(starts)) - base
-    rare = totals[high] - totals[low] >= items.needed
-    blind = blind | ~items.vectors.any(axis=1)  # none of the words has a place in the space
-    near = np.argwhere(rare & (blind | (own @ items.vectors.T >= NEAR)))
+    most = max(int((high - low).max()) * HALF, int(items.needed.max()))  # no passage counts more words, and no item needs more
+    kind = np.int16 if most <= np.iinfo(np.int16).max else np.int64
+    totals = rare_counts(found[starts[base] : end], starts[base:top] - starts[base], items, kind)
+    rare = totals[high] - totals[low] >= items.needed.astype(kind)
+    near = np.argwhere(rare)
+    lost = ~items.vectors.any(axis=1)  # none of the words has a place in the space
+    keep = blind[near[:, 0]] | lost[near[:, 1]]
+    for k in range(0, len(near), _PLACES):
+        passage, item = near[k : k + _PLACES].T
+        keep[k : k + _PLACES] |= np.einsum("ij,ij->i", own[passage], items.vectors[item]) >= NEAR
+    near = near[keep]
     where = spots[near[:, 0]]
     owner = np.searchsorted(begin, where, "right") - 1
     for spot, text, item in zip(where.tolist(), owner.tolist(), near[:, 1].tolist()):

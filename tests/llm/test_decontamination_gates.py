@@ -101,3 +101,16 @@ def test_every_document_shapes_the_space(spark, monkeypatch):
     lengths = np.sort(np.square(vectors).sum(axis=0))
     strong = int((squares > squares.max() * 1e-4).sum())
     assert strong > 10 and np.allclose(lengths[-strong:], 1, atol=0.02)
+
+
+def test_rare_words_are_counted_in_few_bytes():
+    """Running totals over more words than 16 bits count go round; what is around a passage is still right."""
+    import numpy as np
+
+    own = [b"tell"] * 70_000 + [w for k in range(9000) for w in (b"other%d" % (k % 50), b"tell", b"tale")]
+    weights = np.ones(D.FEATURES, np.float32)
+    items = D.made_items([1, 2], [[b"tell", b"tale"] * 3, [b"other7"] * 4], weights, np.ones((D.FEATURES, 2), np.float32))
+    found, (starts, _, _) = D.hashes(own), D.passages([len(own)])
+    wide, narrow = D.rare_counts(found, starts, items), D.rare_counts(found, starts, items, np.int16)
+    assert wide.dtype == np.int64 and narrow.dtype == np.int16 and wide.max() > np.iinfo(np.int16).max
+    assert np.array_equal(narrow[9:] - narrow[:-9], wide[9:] - wide[:-9]) and (wide[-1] > 0).all()
