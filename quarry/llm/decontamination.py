@@ -12,13 +12,13 @@ moves and a very long text takes no more memory than its own words do.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -43,7 +43,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 def hashes(own: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, own), np.uint32, len(own))
+    return np.fromiter(map(xxhash.xxh32_intdigest, own), np.uint32, len(own))
 
 
 def features(own: list[bytes]) -> np.ndarray:
